@@ -219,7 +219,9 @@ def judge_records(
         _field_marks(views.get(p.field), p, detectors).alias(f"_marks_{i}")
         for i, p in enumerate(fields)
     ]
-    marked = df.select("*", *marks)
+    # inline, not select: filters on the verdict then stay above the marks, where
+    # the optimizer would otherwise copy every pattern test into every use
+    marked = df.select("*", F.inline(F.array(F.struct(*marks)))) if marks else df
     names = [F.col(f"_marks_{i}") for i in range(len(fields))]
     any_mark = reduce(lambda a, b: a.bitwiseOR(b), names, F.lit(0))
 
@@ -244,9 +246,11 @@ def judge_records(
     if not isinstance(source_file, Column):
         source_file = F.lit(source_file).cast("string")
 
+    # a record's own column of such a name is judged, then replaced
+    own = [F.col("`" + c.replace("`", "``") + "`") for c in data_columns(df)]
     has_issue = _has(any_mark, ISSUE_MARKS)
     judged = marked.select(
-        *[F.col("`" + c.replace("`", "``") + "`") for c in df.columns],
+        *own,
         record_id.alias("_record_id"),
         score.alias("_quality_score"),
         (
@@ -280,7 +284,7 @@ def judge_records(
             .otherwise(warned)
         )
     return judged.select(
-        *[F.col("`" + c.replace("`", "``") + "`") for c in df.columns],
+        *own,
         "_record_id",
         (~F.col("_has_issue") & (quality >= VALID_SCORE)).alias("_is_valid"),
         "_quality_score",

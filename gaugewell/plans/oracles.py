@@ -221,9 +221,12 @@ def _field(name: str, rule: FieldProfile, storage: str | None) -> tuple[str, lis
     category = "FALSE"
     if rules.get("allowed_values"):
         allowed = rules["allowed_values"]
+        some = "TRUE"
         if isinstance(allowed, list):
             allowed = ", ".join(quote(a) for a in allowed)
-        category = f"(NOT {gone} AND {v} NOT IN ({allowed}))"
+        else:  # a subquery, empty for a field that is not categorical
+            some = f"EXISTS ({allowed})"
+        category = f"(NOT {gone} AND {some} AND {v} NOT IN ({allowed}))"
     if rules.get("patterns"):
         conditions.append(
             (f"NOT {is_type(kind, v)}", "Value doesn't match expected pattern", "0.6e0"))

@@ -344,7 +344,7 @@ register(
 )
 
 _LEARNED_FIELDS = {
-    "email": "email", "phone": "phone", "day": "date", "extra": "json", "tier": "categorical",
+    "email": "email", "phone": "phone", "day": "date", "extra": "string", "tier": "categorical",
     "real": "float", "full_name": "string", "postal": "postal_code",
 }
 
@@ -359,9 +359,7 @@ def _learned_rows():
             rules |= {k: f"(SELECT {k} {at})" for k in ("min_length", "max_length")}
         if kind in ("integer", "float"):
             rules |= {k: f"(SELECT {k} {at})" for k in ("min_value", "max_value")}
-        if kind in ("categorical", "date", "float", "json", "boolean"):
-            # few values: the leading ones are allowed
-            rules["allowed_values"] = f"SELECT v FROM leaders WHERE field = '{name}'"
+        rules["allowed_values"] = f"SELECT v FROM leaders WHERE field = '{name}'"
         if kind in O.PATTERNS:
             rules["patterns"] = O.PATTERNS[kind]
         rows.append(W.declared(name, kind, nullable=name in ("full_name", "tier"), **rules))
@@ -849,21 +847,13 @@ c_name || ', ' || c_mktsegment AS note FROM customer""")
 def _fallback(spark, sf_dir):
     """Under ',' some rows have too many fields, so ';' is found."""
     path = scratch_path(spark, "table") + ".csv"
-    rows = read(spark, sf_dir, "customer").select(
-        F.concat_ws(";", "c_custkey", "c_name", F.concat_ws(", ", "c_name", "c_mktsegment")).alias("value")
-    )
-    # a header per file, as every CSV file has one
-    rows.mapInArrow(_with_header, "value string").write.text(path)
+    read(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("key"), F.col("c_name").alias("name"),
+        F.concat_ws(", ", "c_name", "c_mktsegment").alias("note"),
+    ).write.option("header", True).option("sep", ";").csv(path)
     return S.load(spark, path)
 
 
-def _with_header(batches):
-    import pyarrow as pa
-
-    yield pa.RecordBatch.from_pydict({"value": ["key;name;note"]})
-    yield from batches
-
-
 def _encoded(encoding: str, spark, sf_dir) -> DataFrame:
     path = scratch_path(spark, "table") + ".csv"
     rows = read(spark, sf_dir, "customer").select(
@@ -924,28 +914,18 @@ def _json_nested(spark, sf_dir):
 
 @query("read_json_array_document", "SELECT c_custkey, c_name, c_acctbal FROM customer")
 def _json_array(spark, sf_dir):
-    """One array per file, over several lines."""
+    """Documents of up to 1000 customers, each an array over several lines."""
     path = scratch_path(spark, "customers") + ".json"
     rows = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
-    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).mapInArrow(
-        _as_array, "value string"
-    ).write.text(path)
+    documents = rows.groupBy(F.floor(F.col("c_custkey") / 1000).alias("part")).agg(
+        F.collect_list(F.struct(*rows.columns)).alias("customers")
+    )
+    documents.select(F.to_json("customers", {"pretty": "true"})).write.option(
+        "maxRecordsPerFile", 1
+    ).text(path)
     return S.load(spark, path).select("c_custkey", "c_name", "c_acctbal")
 
 
-def _as_array(batches):
-    import pyarrow as pa
-
-    separator = "["
-    for batch in batches:
-        lines = []
-        for value in batch.column(0).to_pylist():
-            lines += [separator, value]
-            separator = ","
-        yield pa.RecordBatch.from_pydict({"value": lines})
-    yield pa.RecordBatch.from_pydict({"value": ["]"] if separator == "," else []})
-
-
 @query("read_parquet_pruned", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 25")
 def _parquet(spark, sf_dir):
     return S.read_parquet(

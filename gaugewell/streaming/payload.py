@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from gaugewell.functions.detectors import is_integer, is_json, to_number
 from gaugewell.functions.text import double_text
 from gaugewell.operators.profile import TableProfile
-from gaugewell.operators.validate import FieldView, judge_records
+from gaugewell.operators.validate import VALIDATION_COLUMNS, FieldView, judge_records
 from gaugewell.session import scratch_path
 
 
@@ -130,5 +130,9 @@ def validate_payloads(
     unexpected = F.array_except("_keys", F.array(*[F.lit(n) for n in profile.fields]))
     judged = judge_records(rows, staged, profile, unexpected, source_file=source_file)
     kept = [c for c in judged.columns if c not in rows.columns]
-    named = [F.col(f"_text_{i}").alias(name) for i, name in enumerate(profile.fields)]
+    named = [
+        F.col(f"_text_{i}").alias(name)
+        for i, name in enumerate(profile.fields)
+        if name not in VALIDATION_COLUMNS
+    ]
     return judged.select(*named, *kept)
