@@ -151,6 +151,27 @@ FUNCTIONS: dict[str, Callable[[Column], Column]] = {
 }
 
 
+# What the built-in tests say about the text of a whole number, without the text.
+WHOLE_NUMBER_TESTS: dict[str, Callable[[Column], Column]] = {
+    "phone": lambda n: n.between(10, 10**15 - 1),
+    "currency": lambda n: n >= 0,
+    "postal_code": lambda n: n.between(1000, 999_999),
+    "credit_card": lambda n: n.between(10**15, 10**16 - 1),
+    "social_security": lambda n: n.between(10**8, 10**9 - 1),
+    "integer": lambda n: n.isNotNull(),
+    "boolean": lambda n: n.isin(0, 1),
+    "json": lambda n: n.isNotNull(),
+}
+# Types that no number's text has (besides those above).
+NEVER_WHOLE = [
+    "email", "url", "uuid", "percentage", "ip_address", "float", "date", "datetime",
+]
+NEVER_REAL = [
+    "email", "url", "uuid", "percentage", "postal_code", "ip_address", "credit_card",
+    "social_security", "integer", "boolean", "date", "datetime",
+]
+
+
 class Detectors:
     """The types a profile can detect, in tie-breaking order.
 
@@ -182,5 +203,42 @@ class Detectors:
             return any_pattern(self.patterns[name])(text)
         return self.functions[name](text)
 
+    def _built_in(self, name: str) -> bool:
+        if name in self.patterns:
+            return self.patterns[name] == PATTERNS.get(name)
+        return self.functions[name] is FUNCTIONS.get(name)
+
+    def test_whole(self, name: str, number: Column) -> Column:
+        """The test of a whole number's text; no regular expression if built in."""
+        if self._built_in(name):
+            if name in WHOLE_NUMBER_TESTS:
+                return WHOLE_NUMBER_TESTS[name](number)
+            if name in NEVER_WHOLE:
+                return F.lit(False)
+        return self.test(name, number.cast("string"))
+
+    def test_real(self, name: str, number: Column, text: Column) -> Column:
+        """The test of a double's text; most need only its size."""
+        by_text = self.test(name, text)
+        if self._built_in(name):
+            size = F.abs(number)
+            # printed with digits around a point: no exponent, no sign
+            plain = (number >= 1e-4) & (number < 1e16)
+            if name in NEVER_REAL:
+                return F.lit(False)
+            if name == "currency":
+                return F.when(plain, True).otherwise(by_text)
+            if name == "float":
+                return F.when((size >= 1e-4) & (size < 1e16), True).otherwise(by_text)
+            if name == "json":
+                return size < float("inf")
+        return by_text
+
+    def test_time(self, name: str, text: Column, day_only: bool = False) -> Column:
+        """The test of a date's or timestamp's text, which has one fixed form."""
+        if self._built_in(name):
+            return F.lit(name == ("date" if day_only else "datetime"))
+        return self.test(name, text)
+
     def has_patterns(self, name: str) -> bool:
         return name in self.patterns

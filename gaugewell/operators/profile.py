@@ -198,17 +198,18 @@ def cells(df: DataFrame, only: list[str] | None = None) -> DataFrame:
     return df.select(F.stack(count, *items).alias("ordinal", "whole", "real", "txt"))
 
 
+def _ordinals(schema: T.StructType, kinds) -> list[int]:
+    return [i for i, f in enumerate(schema.fields) if isinstance(f.dataType, kinds)]
+
+
 def _rendered(schema: T.StructType) -> Column:
     """The text of a cell, by the type of its column."""
-    def ordinals(*kinds) -> list[int]:
-        return [i for i, f in enumerate(schema.fields) if isinstance(f.dataType, kinds)]
-
     whole, ordinal = F.col("whole"), F.col("ordinal")
     text = F.when(F.col("txt").isNotNull(), F.col("txt"))
     special = [
-        (ordinals(T.BooleanType), whole.cast("boolean"), T.BooleanType()),
-        (ordinals(T.DateType), F.date_from_unix_date(whole.cast("int")), T.DateType()),
-        (ordinals(*_INSTANT), F.timestamp_micros(whole), T.TimestampType()),
+        (_ordinals(schema, T.BooleanType), whole.cast("boolean"), T.BooleanType()),
+        (_ordinals(schema, T.DateType), F.date_from_unix_date(whole.cast("int")), T.DateType()),
+        (_ordinals(schema, _INSTANT), F.timestamp_micros(whole), T.TimestampType()),
     ]
     for columns, value, dtype in special:
         if columns:
@@ -227,12 +228,35 @@ class _Bits:
         self.detectors = detectors
         self.names = [*detectors.order, self.FLOAT_PARSES]
 
+    def _packed(self, tests: list[Column]) -> Column:
+        bits = [F.when(test, F.lit(1 << i)).otherwise(F.lit(0)) for i, test in enumerate(tests)]
+        return reduce(lambda a, b: a.bitwiseOR(b), bits)
+
     def pack(self, text: Column) -> Column:
         tests = [self.detectors.test(name, text) for name in self.detectors.order]
-        tests.append(parses_as_float(text))
-        bits = [F.when(test, F.lit(1 << i)).otherwise(F.lit(0)) for i, test in enumerate(tests)]
-        packed = reduce(lambda a, b: a.bitwiseOR(b), bits)
-        return F.when(text.isNotNull(), packed)
+        return F.when(text.isNotNull(), self._packed([*tests, parses_as_float(text)]))
+
+    def pack_cell(self, text: Column, schema: T.StructType) -> Column:
+        """The tests of a cell; numbers and times are tested by value where possible."""
+        whole, real, ordinal = F.col("whole"), F.col("real"), F.col("ordinal")
+        detectors, order = self.detectors, self.detectors.order
+        by_real = [detectors.test_real(name, real, text) for name in order]
+        chain = F.when(F.col("txt").isNotNull(), self.pack(text)).when(
+            real.isNotNull(), self._packed([*by_real, F.lit(True)])
+        )
+        typed = [
+            (_WHOLE, [detectors.test_whole(name, whole) for name in order], True),
+            (_INSTANT, [detectors.test_time(name, text) for name in order], False),
+            (T.DateType, [detectors.test_time(name, text, True) for name in order], False),
+        ]
+        for kinds, tests, parses in typed:
+            columns = _ordinals(schema, kinds)
+            if columns:
+                chain = chain.when(
+                    whole.isNotNull() & ordinal.isin(columns),
+                    self._packed([*tests, F.lit(parses)]),
+                )
+        return chain.otherwise(self.pack(text))
 
     def has(self, mask: Column, name: str) -> Column:
         return mask.bitwiseAND(F.lit(1 << self.names.index(name))) != 0
@@ -272,7 +296,7 @@ def value_frequencies(df: DataFrame, detectors: Detectors | None = None) -> Data
         _cell_hash().alias("hash"),
         "cnt",
         F.coalesce("long.len", F.length("key")).alias("len"),
-        F.coalesce("long.mask", bits.pack(F.col("key"))).alias("mask"),
+        F.coalesce("long.mask", bits.pack_cell(F.col("key"), df.schema)).alias("mask"),
     )
 
 

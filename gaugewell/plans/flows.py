@@ -57,7 +57,8 @@ def validate_file(
     """File -> clean -> learn -> validate -> splits and reports."""
     started = time.time()
     records = to_records(load(spark, path, **read_options))
-    profile = profile or learn_profile(records, sample_values=3)
+    if profile is None:
+        profile = learn_profile(records, sample_values=3)
     validated, seen = store_validated(validate(records, profile, source_file=path), quality_threshold)
     written = write_splits(
         validated, output_dir, quality_threshold,

@@ -94,7 +94,9 @@ def start(
     frozen = {"profile": profile}
 
     def learned(batch: DataFrame) -> TableProfile:
-        found = frozen["profile"] or ingestion.profile(spark)
+        found = frozen["profile"]
+        if found is None:
+            found = ingestion.profile(spark)
         if found is None:
             found = learn_profile(payload_table(batch))
         if not path_exists(spark, ingestion.profile_path):
