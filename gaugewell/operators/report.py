@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,35 @@ TOP_PATTERNS = 10
 DETAIL_ROWS = 10
 REPORTED_ERRORS = 50
 
+# Insight texts, with the lowest success rate of each band.
+VALIDATOR_BANDS = [
+    (95, "Excellent data quality - very high success rate with intelligent validation"),
+    (80, "Good data quality - acceptable success rate"),
+    (60, "Fair data quality - consider data source review"),
+    (0, "Poor data quality - immediate attention required"),
+]
+REPORTER_BANDS = [
+    (95, "Excellent data quality with very high success rate"),
+    (85, "Good data quality with acceptable success rate"),
+    (70, "Fair data quality - consider data source review"),
+    (0, "Poor data quality - immediate attention required"),
+]
+FIELDS_DETECTED = "Automatically detected {} fields with {} different data types"
+COMMON_TYPE = "Most common data type: {} ({} fields)"
+MOSTLY_EXCELLENT = "Majority of valid records have excellent quality scores"
+VALIDATOR_MANY_POOR = "High percentage of poor quality records among valid data"
+REPORTER_MANY_POOR = "High percentage of poor quality records - review data collection processes"
+STRONG_QUALITY = "Strong overall data quality suitable for production use"
+HIGH_THROUGHPUT = "High processing throughput achieved"
+LOW_THROUGHPUT = "Low processing throughput - consider optimization"
+WORST_FIELD = "Most problematic field: '%s' with %d validation issues"
+COMMON_ERROR = "Most common validation issue: %s"
+CONCENTRATED = "Over 50%% of errors are related to %s - focus on fixing this issue"
+VALIDATOR_NOTHING = "No data processed yet"
+REPORTER_NOTHING = "No data to analyze"
+EXCELLENT_SHARE, POOR_SHARE, STRONG_SHARE = 80, 30, 90
+FAST_RECORDS_PER_SECOND, SLOW_RECORDS_PER_SECOND = 1000, 100
+
 
 def statistics_columns(threshold: float | None = None) -> list[Column]:
     """Aggregates of a run, for ``agg`` or for ``observe``; levels count valid rows only."""
@@ -174,11 +205,9 @@ def _numbered(stats: DataFrame, insights: list[Column], nothing: str) -> DataFra
     )
 
 
-def _band(rate: Column, bands: list[tuple[float, str]], last: str) -> Column:
-    chain = F.when(rate >= bands[0][0], bands[0][1])
-    for lowest, text in bands[1:]:
-        chain = chain.when(rate >= lowest, text)
-    return chain.otherwise(last)
+def _band(bands: list[tuple[float, str]]) -> Column:
+    rate = F.col("success_rate")
+    return F.coalesce(*[F.when(rate >= lowest, text) for lowest, text in bands])
 
 
 def _share(level: str) -> Column:
@@ -186,99 +215,56 @@ def _share(level: str) -> Column:
     return F.when(valid > 0, F.col(f"{level}_quality") / valid * 100)
 
 
+def _level_insight(many_poor: str) -> Column:
+    return F.when(_share("excellent") >= EXCELLENT_SHARE, MOSTLY_EXCELLENT).when(
+        _share("poor") >= POOR_SHARE, many_poor
+    )
+
+
 def validator_insights(validated: DataFrame, profile: TableProfile | None = None) -> DataFrame:
     """What the validator says about the run.
 
     The worst field comes from a grouped count that is reduced to one row first
     and enters as a scalar subquery.
     """
-    stats = run_statistics(validated)
     insights: list[Column] = []
     if profile is not None:
-        kinds: dict[str, int] = {}
-        for p in profile:
-            kinds[p.detected_type] = kinds.get(p.detected_type, 0) + 1
-        insights.append(
-            F.lit(
-                f"Automatically detected {len(profile)} fields "
-                f"with {len(kinds)} different data types"
-            )
-        )
-        if kinds:
-            common = max(kinds, key=kinds.get)
-            insights.append(F.lit(f"Most common data type: {common} ({kinds[common]} fields)"))
-    insights.append(
-        _band(
-            F.col("success_rate"),
-            [
-                (95, "Excellent data quality - very high success rate with intelligent validation"),
-                (80, "Good data quality - acceptable success rate"),
-                (60, "Fair data quality - consider data source review"),
-            ],
-            "Poor data quality - immediate attention required",
-        )
-    )
-    insights.append(
-        F.when(
-            _share("excellent") >= 80, "Majority of valid records have excellent quality scores"
-        ).when(
-            _share("poor") >= 30, "High percentage of poor quality records among valid data"
-        )
-    )
+        kinds = Counter(p.detected_type for p in profile)
+        insights.append(F.lit(FIELDS_DETECTED.format(len(profile), len(kinds))))
+        insights += [F.lit(COMMON_TYPE.format(*top)) for top in kinds.most_common(1)]
     worst = most_problematic_field(validated).select(
-        F.format_string(
-            "Most problematic field: '%s' with %d validation issues", "field", "errors"
-        ).alias("text")
+        F.format_string(WORST_FIELD, "field", "errors").alias("text")
     )
-    insights.append(worst.scalar())
-    return _numbered(stats, insights, "No data processed yet")
+    insights += [_band(VALIDATOR_BANDS), _level_insight(VALIDATOR_MANY_POOR), worst.scalar()]
+    return _numbered(run_statistics(validated), insights, VALIDATOR_NOTHING)
 
 
 def reporter_insights(validated: DataFrame, duration_seconds: float | None = None) -> DataFrame:
     """What the report says about the run."""
-    stats = run_statistics(validated)
     insights = [
-        _band(
-            F.col("success_rate"),
-            [
-                (95, "Excellent data quality with very high success rate"),
-                (85, "Good data quality with acceptable success rate"),
-                (70, "Fair data quality - consider data source review"),
-            ],
-            "Poor data quality - immediate attention required",
-        ),
-        F.when(
-            _share("excellent") >= 80, "Majority of valid records have excellent quality scores"
-        ).when(
-            _share("poor") >= 30,
-            "High percentage of poor quality records - review data collection processes",
-        ),
-        F.when(
-            _share("excellent") + _share("good") >= 90,
-            "Strong overall data quality suitable for production use",
-        ),
+        _band(REPORTER_BANDS),
+        _level_insight(REPORTER_MANY_POOR),
+        F.when(_share("excellent") + _share("good") >= STRONG_SHARE, STRONG_QUALITY),
     ]
     if duration_seconds:
         speed = F.col("total_records") / F.lit(duration_seconds)
         insights.append(
-            F.when(speed >= 1000, "High processing throughput achieved").when(
-                speed < 100, "Low processing throughput - consider optimization"
+            F.when(speed >= FAST_RECORDS_PER_SECOND, HIGH_THROUGHPUT).when(
+                speed < SLOW_RECORDS_PER_SECOND, LOW_THROUGHPUT
             )
         )
-    worst = error_patterns(validated, 1)
-    pattern = worst.select("pattern").scalar()
-    errors = worst.select("errors").scalar()
+    worst = error_patterns(validated, 1).select(
+        F.struct(
+            "errors",
+            F.format_string(COMMON_ERROR, "pattern").alias("common"),
+            F.format_string(CONCENTRATED, "pattern").alias("concentrated"),
+        ).alias("top")
+    ).scalar()
     insights += [
-        F.concat(F.lit("Most common validation issue: "), pattern),
-        F.when(
-            errors / F.col("invalid_records") > 0.5,
-            F.concat(
-                F.lit("Over 50% of errors are related to "), pattern,
-                F.lit(" - focus on fixing this issue"),
-            ),
-        ),
+        worst["common"],
+        F.when(worst["errors"] / F.col("invalid_records") > 0.5, worst["concentrated"]),
     ]
-    return _numbered(stats, insights, "No data to analyze")
+    return _numbered(run_statistics(validated), insights, REPORTER_NOTHING)
 
 
 # ------------------------------------------------------------------ reports

@@ -36,6 +36,28 @@ NUMBER = re.compile(r"-?\d+(\.\d+)?(e[+-]\d+)?|-?inf")
 # Marks of a field.
 MISSING, NOT_GIVEN, NULL, EMPTY = 1, 2, 4, 8
 TYPE, SHORT, LONG, BELOW, ABOVE, CATEGORY, PATTERN = 16, 32, 64, 128, 256, 512, 1024
+# What a mark leaves of a field's score, in the order they multiply.
+FIELD_SCORES = [(MISSING | NULL, 0.0), (NOT_GIVEN, 0.8), (EMPTY, 0.9)]
+FACTORS = [
+    (TYPE, 0.5), (SHORT, 0.7), (LONG, 0.8), (BELOW | ABOVE, 0.7), (CATEGORY, 0.9), (PATTERN, 0.6),
+]
+# Issue and text of each mark, in the order they are listed.
+ISSUES = [
+    (MISSING, "missing_value", "Required field is missing"),
+    (NULL, "missing_value", "Field cannot be null"),
+    (TYPE, "invalid_format", "Invalid {type} format"),
+    (SHORT, "length_violation", "Value too short (min: {min_length})"),
+    (LONG, "length_violation", "Value too long (max: {max_length})"),
+    (BELOW, "out_of_range", "Value below minimum ({min_value})"),
+    (ABOVE, "out_of_range", "Value above maximum ({max_value})"),
+    (PATTERN, "inconsistent_pattern", "Value doesn't match expected pattern"),
+]
+# Warning texts.
+NOT_GIVEN_WARNING = "Optional field '{}' is missing"
+CATEGORY_WARNING = "Field '{}' has unexpected category: "
+STRANGER_WARNING = "Unexpected field '%s' found"
+REVIEW_WARNING = "Data quality score is %.2f - consider reviewing"
+POOR_WARNING = "Poor data quality detected - manual review recommended"
 ISSUE_MARKS = MISSING | NULL | TYPE | SHORT | LONG | BELOW | ABOVE | PATTERN
 
 ISSUE_TYPE = T.StructType(
@@ -166,58 +188,38 @@ def _has(marks: Column, bits: int) -> Column:
 
 
 def _score(marks: Column) -> Column:
-    def factor(bits: int, value: float) -> Column:
-        return F.when(_has(marks, bits), value).otherwise(1.0)
-
-    value_score = (
-        factor(TYPE, 0.5)
-        * F.when(_has(marks, SHORT), 0.7).when(_has(marks, LONG), 0.8).otherwise(1.0)
-        * factor(BELOW | ABOVE, 0.7)
-        * factor(CATEGORY, 0.9)
-        * factor(PATTERN, 0.6)
-    )
-    return (
-        F.when(marks == 0, 1.0)
-        .when(_has(marks, MISSING | NULL), 0.0)
-        .when(_has(marks, NOT_GIVEN), 0.8)
-        .when(_has(marks, EMPTY), 0.9)
-        .otherwise(value_score)
+    value_score = reduce(
+        lambda a, b: a * b,
+        [F.when(_has(marks, bits), factor).otherwise(1.0) for bits, factor in FACTORS],
     )
+    score = F.when(marks == 0, 1.0)
+    for bits, fixed in FIELD_SCORES:
+        score = score.when(_has(marks, bits), fixed)
+    return score.otherwise(value_score)
 
 
 def _field_issues(marks: Column, profile: FieldProfile) -> list[Column]:
     """The issues of one field, null where they do not apply."""
-    rules = profile.rules
-    texts = [
-        (MISSING, "missing_value", "Required field is missing"),
-        (NULL, "missing_value", "Field cannot be null"),
-        (TYPE, "invalid_format", f"Invalid {profile.detected_type} format"),
-        (SHORT, "length_violation", f"Value too short (min: {rules.get('min_length')})"),
-        (LONG, "length_violation", f"Value too long (max: {rules.get('max_length')})"),
-        (BELOW, "out_of_range", f"Value below minimum ({rules.get('min_value')})"),
-        (ABOVE, "out_of_range", f"Value above maximum ({rules.get('max_value')})"),
-        (PATTERN, "inconsistent_pattern", "Value doesn't match expected pattern"),
-    ]
+    limits = ("min_length", "max_length", "min_value", "max_value")
+    facts = {name: profile.rules.get(name) for name in limits}
     return [
         F.when(
             _has(marks, bit),
             F.struct(
                 F.lit(profile.field).alias("field"),
                 F.lit(issue).alias("issue"),
-                F.lit(description).alias("description"),
+                F.lit(text.format(type=profile.detected_type, **facts)).alias("description"),
             ),
         )
-        for bit, issue, description in texts
+        for bit, issue, text in ISSUES
     ]
 
 
 def _field_warnings(marks: Column, view: FieldView | None, profile: FieldProfile) -> list[Column]:
     name = profile.field
-    warnings = [
-        F.when(_has(marks, NOT_GIVEN), F.lit(f"Optional field '{name}' is missing"))
-    ]
+    warnings = [F.when(_has(marks, NOT_GIVEN), F.lit(NOT_GIVEN_WARNING.format(name)))]
     if view is not None and profile.rules.get("categorical"):
-        text = F.concat(F.lit(f"Field '{name}' has unexpected category: "), view.text)
+        text = F.concat(F.lit(CATEGORY_WARNING.format(name)), view.text)
         warnings.append(F.when(_has(marks, CATEGORY), text))
     return warnings
 
@@ -270,10 +272,10 @@ def judge_records(
     if isinstance(unexpected, Column):
         strangers = F.transform(
             F.coalesce(unexpected, no_texts),
-            lambda name: F.concat(F.lit("Unexpected field '"), name, F.lit("' found")),
+            lambda name: F.format_string(STRANGER_WARNING, name),
         )
     else:
-        listed = [F.lit(f"Unexpected field '{name}' found") for name in unexpected]
+        listed = [F.lit(STRANGER_WARNING % name) for name in unexpected]
         strangers = F.array(*listed) if listed else no_texts
 
     if record_id is None:
@@ -313,8 +315,8 @@ def judge_records(
     quality = F.col("_quality_score")
     warned = F.col("_warnings")
     if review_warnings:
-        review = F.format_string("Data quality score is %.2f - consider reviewing", quality)
-        poor = F.lit("Poor data quality detected - manual review recommended")
+        review = F.format_string(REVIEW_WARNING, quality)
+        poor = F.lit(POOR_WARNING)
         warned = (
             F.when(quality < 0.6, F.concat(warned, F.array(review, poor)))
             .when(quality < 0.8, F.array_append(warned, review))

@@ -91,7 +91,7 @@ def test_batch_and_payload_verdicts_agree(spark, table):
 
 
 def test_flows(spark, fixture_file, tmp_path):
-    path = fixture_file("CustomersData.csv")
+    path = fixture_file("customers")
     topic = FileTopic(str(tmp_path / "topic"))
     results = file_to_topic_to_analysis(spark, path, topic, str(tmp_path / "out"))
     assert results["file_to_topic"]["sending"]["sent_records"] == 30
