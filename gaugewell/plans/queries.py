@@ -10,7 +10,6 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gaugewell.functions.detectors import Detectors
 from gaugewell.functions.quality import QUALITY_LEVELS
@@ -22,7 +21,6 @@ from gaugewell.operators import report as R
 from gaugewell.operators import validate as V
 from gaugewell.operators.profile import (
     TableProfile,
-    cells,
     field_digest,
     field_quality_counts,
     learn_profile,
@@ -882,9 +880,6 @@ def _storage(spark, sf_dir):
     return kinds.withColumn("rows", frame.select(F.count(F.lit(1))).scalar())
 
 
-_NATIONS = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
-
-
 def _round_trip(table: str, format: str, spark, sf_dir) -> DataFrame:
     frame = read(spark, sf_dir, table)
     path = save(frame, scratch_path(spark, table) + f".{format}")
