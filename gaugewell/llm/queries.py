@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gaugewell.llm import secrets, sql
 from gaugewell.llm.recompression import remove_repeats
 from gaugewell.llm.shipping import ship
+from gaugewell.llm.simhash import near_duplicates
 from gaugewell.llm.texts import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +24,19 @@ def query(function):
     return function
 
 
+@query
+def op1_secret_scans(spark, sf_dir):
+    return secrets.digests(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+ORACLES["op1_secret_scans"] = sql.secret_scans()
+
+
 @query
 def op2_substring_dedup(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_simhash_near_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
