@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gaugewell.llm import secrets, sql
+from gaugewell.llm.quality import quality_scores
 from gaugewell.llm.recompression import remove_repeats
 from gaugewell.llm.shipping import ship
 from gaugewell.llm.simhash import near_duplicates
 from gaugewell.llm.texts import table
+from gaugewell.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +39,16 @@ def op2_substring_dedup(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_quality_classifier(spark, sf_dir):
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op7_simhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))

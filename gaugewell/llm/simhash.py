@@ -151,5 +151,7 @@ def near_duplicates(
     classes = linked.groupBy("root").agg(F.min("least").alias("class_least"))
     linked = linked.join(classes, "root").select("fp", "class_least")
     named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("class_least", "least").alias("component_id"))
-    return marked.join(named, "fp").select(
+    # stored, so that the join below is between two plain shuffles and a fingerprint of many copies can be split
+    named.write.parquet(f"{scratch}/classes")
+    return marked.join(spark.read.parquet(f"{scratch}/classes"), "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

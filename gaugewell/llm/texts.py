@@ -19,9 +19,18 @@ PIECE_BYTES = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+#: ASCII bytes that are no letters; bytes of other scripts count as letters.
+NO_LETTER = np.ones(256, bool)
+NO_LETTER[128:] = NO_LETTER[ord("a"):ord("z") + 1] = NO_LETTER[ord("A"):ord("Z") + 1] = False
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
 
+_KINDS = np.arange(1, 257, dtype=np.uint16)
+_KINDS[ord("A"):ord("Z") + 1] = 300
+_KINDS[ord("a"):ord("z") + 1] = _KINDS[128:] = 301
+_KINDS[ord("0"):ord("9") + 1] = 302
+
 _MULTIPLIERS = (np.uint64(0x9E6C63D0876A3F35), np.uint64(0xC2B2AE3D27D4EB4F))
 _powers: dict[int, np.ndarray] = {}
 
@@ -78,15 +87,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of some documents: maximal byte runs without ASCII white space.
+    """The words of some documents: maximal byte runs without separators, which are ASCII white space.
 
     ``starts`` and ``ends`` are byte positions, ``bounds[d]:bounds[d + 1]`` are the
     words of document d.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE) -> None:
         self.data, self.offsets = data, offsets
-        inside = ~SPACE[data]
+        inside = ~separators[data]
         first = np.empty(len(data), bool)
         if len(data):
             first[0] = True
@@ -113,12 +122,11 @@ class Words:
         """The document of each word."""
         return np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.bounds))
 
-    def names(self, which: int = 0, data: np.ndarray | None = None) -> np.ndarray:
+    def names(self, which: int = 0) -> np.ndarray:
         """A 64-bit name per word, equal for equal words; ``which`` selects one of two families."""
         if not len(self):
             return np.zeros(0, np.uint64)
-        data = self.data if data is None else data
-        at = np.arange(len(data))
+        data, at = self.data, np.arange(len(self.data))
         since = at - np.maximum.accumulate(np.where(self.first, at, 0))
         multiplier = _MULTIPLIERS[which]
         terms = (data.astype(np.uint64) + np.uint64(1)) * powers(int(multiplier), int(since.max()) + 1)[since]
@@ -126,6 +134,29 @@ class Words:
         sums = np.add.reduceat(terms, self.starts)
         return mix(sums + (self.ends - self.starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
+    def shapes(self) -> np.ndarray:
+        """A 64-bit name per word of its sequence of capitals, small letters, digits and marks, repeats as one."""
+        if not len(self):
+            return np.zeros(0, np.uint64)
+        kind = _KINDS[self.data]
+        new = np.ones(len(kind), bool)
+        new[1:] = kind[1:] != kind[:-1]
+        new = (new | self.first) & self.inside
+        rank = np.cumsum(new)
+        rank -= np.maximum.accumulate(np.where(self.first, rank, 0))
+        terms = kind.astype(np.uint64) * powers(int(_MULTIPLIERS[0]), int(rank.max()) + 1)[np.maximum(rank, 0)]
+        terms[~new] = 0
+        return mix(np.add.reduceat(terms, self.starts))
+
+    def prefixes(self, letters: int) -> np.ndarray:
+        """A 64-bit name per word of its first bytes."""
+        packed = np.zeros(len(self), np.uint64)
+        for k in range(letters):
+            at = self.starts + k
+            inside = at < self.ends
+            packed = packed * np.uint64(257) + np.where(inside, self.data[np.where(inside, at, self.starts)], 256)
+        return mix(packed)
+
 
 def per_document(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of ``values`` over the documents that ``bounds`` delimits; empty ones get 0."""
