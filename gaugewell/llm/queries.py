@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gaugewell.llm import secrets, sql
+from gaugewell.llm.decontamination import contamination
 from gaugewell.llm.quality import quality_scores
 from gaugewell.llm.recompression import remove_repeats
 from gaugewell.llm.shipping import ship
@@ -39,6 +40,11 @@ def op2_substring_dedup(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_benchmark_decontamination(spark, sf_dir):
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op4_toxicity(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
