@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gaugewell.llm import secrets, sql
 from gaugewell.llm.decontamination import contamination
+from gaugewell.llm.mixing import mix_sources
+from gaugewell.llm.phrases import edited_likeness
 from gaugewell.llm.quality import quality_scores
 from gaugewell.llm.recompression import remove_repeats
 from gaugewell.llm.shipping import ship
@@ -15,6 +17,9 @@ from gaugewell.llm.simhash import near_duplicates
 from gaugewell.llm.texts import table
 from gaugewell.llm.toxicity import toxicity
 
+#: Target shares of the mix; every other source has a share of one.
+TARGET_SHARES = {"src0": 5}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -55,6 +60,16 @@ def op5_quality_classifier(spark, sf_dir):
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op6_source_mixing(spark, sf_dir):
+    return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"), TARGET_SHARES)
+
+
 @query
 def op7_simhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_document_fingerprints(spark, sf_dir):
+    return edited_likeness(table(spark, sf_dir, "documents"))
