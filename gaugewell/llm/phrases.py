@@ -165,15 +165,28 @@ def _compare_with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             ], ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
 
+def _range_of(keys: pa.Array, cuts: np.ndarray) -> np.ndarray:
+    """Ranges are numbered from the largest keys down."""
+    return len(cuts) - np.searchsorted(cuts, keys.to_numpy().astype(np.float64), "right")
+
+
+def _ranges(bounds: list[float]):
+    cuts = np.array(bounds, np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket = pa.array(_range_of(batch.column(0), cuts), pa.int32())
+            yield pa.RecordBatch.from_arrays([bucket, batch.column(0)], ["bucket", "key"])
+    return run
+
+
 def _pack(bounds: list[float]):
     cuts = np.array(bounds, np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            key = batch.column(1).to_numpy()
-            bucket = len(cuts) - np.searchsorted(cuts, key.astype(np.float64), "right")
-            text = batch.column(3)
+            bucket, text = _range_of(batch.column(1), cuts), batch.column(3)
             packed = [pack(text[i].as_buffer()) for i in range(len(text))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(bucket, pa.int32()), *batch.columns[:3], pa.array(packed, pa.binary())],
@@ -200,10 +213,10 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = texts.mapInArrow(_pack(cuts), "bucket int, id long, key long, tie long, packed binary")
 
     # the first row of each range also stands behind the last row of the range before it
-    bucket = F.lit(len(cuts)).cast("int")
-    if cuts:
-        bucket = sum((F.col("key").cast("double") < F.lit(float(c))).cast("int") for c in cuts)
-    firsts = texts.groupBy(bucket.alias("bucket")).agg(F.max("key").alias("key")).orderBy("bucket").collect()  # a row per range
+    firsts = (
+        texts.select("key").mapInArrow(_ranges(cuts), "bucket int, key long")
+        .groupBy("bucket").agg(F.max("key").alias("key")).orderBy("bucket").collect()  # a row per range
+    )
     behind = [(firsts[i - 1]["bucket"], r["key"]) for i, r in enumerate(firsts)]
     if not behind:
         return rows.mapInArrow(_compare_with_next, _LIKENESS).withColumnRenamed("id", id_col)
