@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugewell.llm.texts import LOWER, NO_LETTER, Words, mix, pieces, powers, text_or_empty, utf8
+from gaugewell.llm.texts import LOWER, NO_LETTER, Words, annotate, mix, pieces, powers, text_or_empty, utf8
 
 #: Edits allowed per word of the item: a similarity of 0.8.
 EDIT_SHARE = 0.2
@@ -273,3 +273,21 @@ def contamination(
     return found.select(
         F.col("id").alias(id_col), (F.size("item_ids") > 0).alias("contaminated"),
         F.size("item_ids").cast("long").alias("n_items"), "item_ids")
+
+
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, edit_share: float = EDIT_SHARE, recall: float = RECALL, seed: int = 17,
+    block_bytes: int = BLOCK_BYTES, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs``, columns unchanged, that hold no item of the benchmark."""
+    for ids, items in _blocks(benchmark, item_col, item_text_col, block_bytes):
+        block = Items(ids, items, edit_share, recall, seed)
+
+        def compute(data, offsets, block=block):
+            batch = pa.RecordBatch.from_arrays(
+                [pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data))], ["text"])
+            return {"__clean": [not found for found in block.matches(batch)]}
+
+        rows, given = annotate(docs, compute, "__clean boolean", text_col)
+        docs = rows.where("__clean").select(*given)
+    return docs

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gaugewell.llm import secrets, sql
 from gaugewell.llm.decontamination import contamination
@@ -15,7 +16,9 @@ from gaugewell.llm.recompression import remove_repeats
 from gaugewell.llm.shipping import ship
 from gaugewell.llm.simhash import near_duplicates
 from gaugewell.llm.texts import table
+from gaugewell.llm.tokens import token_counts
 from gaugewell.llm.toxicity import toxicity
+from gaugewell.llm.warc import round_trip
 
 #: Target shares of the mix; every other source has a share of one.
 TARGET_SHARES = {"src0": 5}
@@ -73,3 +76,21 @@ def op7_simhash_near_dedup(spark, sf_dir):
 @query
 def op8_document_fingerprints(spark, sf_dir):
     return edited_likeness(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_warc(spark, sf_dir):
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+def _edit(start, length, text):
+    return F.struct(F.floor(start).alias("start"), F.floor(start + length).alias("end"), text.alias("text"))
+
+
+@query
+def op10_token_counts(spark, sf_dir):
+    """Counts of every document before and after two edits: a replaced passage and a deleted one."""
+    size = F.length(F.coalesce("text", F.lit("")))
+    edits = F.array(_edit(size / 3, 12, F.concat(F.lit(" "), F.coalesce("source", F.lit("")), F.lit("'s note"))),
+                    _edit(size * 2 / 3, 5, F.lit("")))
+    return token_counts(table(spark, sf_dir, "documents"), edits)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugewell.llm.automaton import Automaton
-from gaugewell.llm.texts import pieces, text_or_empty, utf8
+from gaugewell.llm.texts import annotate, pieces, text_or_empty, utf8
 
 
 class Rule(NamedTuple):
@@ -206,45 +206,33 @@ def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
                         joined(F.col("findings")).alias("spans"))
 
 
-def _redact(scan: Scanner, mark: bytes):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in pieces(batch, "__text"):
-                data, offsets = utf8(piece.column(0))
-                texts, sizes = [], []
-                for i, found in enumerate(scan.findings(data, offsets)):
-                    text = data[offsets[i]:offsets[i + 1]].tobytes()
-                    at, parts = 0, []
-                    for start, _, end in found:
-                        if start >= at:
-                            parts += [text[at:start], mark]
-                        at = max(at, end)
-                    texts.append(b"".join([*parts, text[at:]]).decode())
-                    sizes.append(bool(found))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(texts, pa.string()), pa.array(sizes), *piece.columns[1:]],
-                    ["__text", "__changed", *piece.schema.names[1:]])
-    return run
-
-
 def redact_secrets(
     docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]", text_col: str = "text", size_col: str = "n_chars",
 ) -> DataFrame:
-    """The same rows and columns with each finding replaced; touching findings get one mark.
+    """The same rows and columns with each finding replaced; overlapping findings get one mark.
 
     A null text stays null; the number of characters is renewed where a text has changed.
     """
-    names = docs.columns
-    others = [f"__c{i}" for i in range(len(names))]
-    renamed = docs.toDF(*others).select(text_or_empty(F.col(others[names.index(text_col)])).alias("__text"), *others)
-    schema = ", ".join(["__text string", "__changed boolean", *(f"{f.name} {f.dataType.simpleString()}" for f in renamed.schema[1:])])
-    out = renamed.mapInArrow(_redact(scanner(rules), mark.encode()), schema)
+    scan, stamp = scanner(rules), mark.encode()
+
+    def compute(data: np.ndarray, offsets: np.ndarray) -> dict[str, list]:
+        texts: list[str | None] = []
+        for i, found in enumerate(scan.findings(data, offsets)):
+            text, at, parts = data[offsets[i]:offsets[i + 1]].tobytes() if found else b"", 0, []
+            for start, _, end in found:
+                if start >= at:
+                    parts += [text[at:start], stamp]
+                at = max(at, end)
+            texts.append(b"".join([*parts, text[at:]]).decode() if found else None)
+        return {"__redacted": pa.array(texts, pa.string())}
+
+    rows, given = annotate(docs, compute, "__redacted string", text_col)
     columns = []
-    for name, own in zip(names, others):
-        column = F.col(own)
+    for name, column in zip(docs.columns, given):
         if name == text_col:
-            column = F.when(F.col("__changed"), F.col("__text")).otherwise(column)
+            column = F.coalesce("__redacted", column).alias(name)
         elif name == size_col:
-            column = F.when(F.col("__changed"), F.length("__text").cast(docs.schema[name].dataType)).otherwise(column)
-        columns.append(column.alias(name))
-    return out.select(*columns)
+            size = F.length("__redacted").cast(docs.schema[name].dataType)
+            column = F.when(F.col("__redacted").isNotNull(), size).otherwise(column).alias(name)
+        columns.append(column)
+    return rows.select(*columns)

@@ -18,11 +18,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugewell.llm.components import components
-from gaugewell.llm.texts import LOWER, Words, pieces, text_or_empty, utf8
+from gaugewell.llm.texts import LOWER, Words, annotate, pieces, text_or_empty, utf8
 from gaugewell.session import scratch_path
 
 SHINGLE_WORDS = 4
@@ -136,7 +136,8 @@ def near_duplicates(
     docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: int = RADIUS, tile: int = TILE,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """Per document: id, fingerprint (16 hex digits), component_id (least id of its class)."""
+    """Per document: id, fingerprint (16 hex digits), component_id (least id of its class),
+    class_fingerprint (one fingerprint that stands for the class)."""
     spark, scratch = docs.sparkSession, scratch_path(docs.sparkSession, "simhash")
     id_type = docs.schema[id_col].dataType
     (
@@ -149,9 +150,39 @@ def near_duplicates(
     linked = components(_edges(distinct, radius, tile)).withColumnRenamed("node", "fp")
     linked = linked.join(distinct, "fp")
     classes = linked.groupBy("root").agg(F.min("least").alias("class_least"))
-    linked = linked.join(classes, "root").select("fp", "class_least")
-    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("class_least", "least").alias("component_id"))
+    linked = linked.join(classes, "root").select("fp", "root", "class_least")
+    named = distinct.join(linked, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least"))
+        .otherwise(F.col("class_least")).alias("component_id"))
     # stored, so that the join below is between two plain shuffles and a fingerprint of many copies can be split
     named.write.parquet(f"{scratch}/classes")
     return marked.join(spark.read.parquet(f"{scratch}/classes"), "fp").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        F.col("id").alias(id_col), _digits("fp").alias("fingerprint"), "component_id",
+        _digits("root").alias("class_fingerprint"))
+
+
+def _digits(fingerprint: str) -> Column:
+    return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
+
+
+def drop_near_duplicates(
+    docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: int = RADIUS, tile: int = TILE,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs``, columns unchanged, with one document of each class: that of the least id."""
+    found = near_duplicates(docs, shingle, radius, tile, id_col, text_col)
+    found = found.select(F.col(id_col).alias("id"), "fingerprint", "class_fingerprint")
+    # the least id, any before none; a row of it with the least fingerprint
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fingerprint")).alias("first")
+    stays = found.groupBy("class_fingerprint").agg(first).select(
+        F.col("first.id").alias("__id"), F.col("first.fingerprint").alias("__kept"))
+    rows, given = annotate(
+        docs, lambda data, offsets: {"__fp": fingerprints(data, offsets, shingle).view(np.int64)}, "__fp long", text_col)
+    key = F.col(f"__c{docs.columns.index(id_col)}")
+    kept = rows.withColumn("__fp", _digits("__fp")).join(
+        stays, key.eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__kept")), "left_semi")
+    if found.groupBy("id", "fingerprint").count().where("count > 1").limit(1).count():  # rows of one id and fingerprint
+        names = [c for c in kept.columns if c.startswith("__c")]
+        kept = kept.withColumn("__copy", F.row_number().over(
+            Window.partitionBy(key, "__fp").orderBy(F.xxhash64(*names)))).where("__copy = 1")
+    return kept.select(*given)

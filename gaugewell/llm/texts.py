@@ -7,7 +7,7 @@ is cut at document borders into pieces of bounded size (one long document is one
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +67,28 @@ def pieces(batch: pa.RecordBatch, text: str = "text", most: int = PIECE_BYTES) -
         at = end
 
 
+def annotate(docs: DataFrame, compute: Callable[[np.ndarray, np.ndarray], dict[str, list]], schema: str,
+             text_col: str = "text") -> tuple[DataFrame, list[Column]]:
+    """The rows with computed columns beside them, and the columns that restore the given ones.
+
+    Given columns pass under names of their own, so that no name of theirs can meet a computed one.
+    ``compute`` gets the texts of a piece and returns a list per column of ``schema``.
+    """
+    names = docs.columns
+    inner = docs.toDF(*(f"__c{i}" for i in range(len(names))))
+    inner = inner.select(text_or_empty(F.col(f"__c{names.index(text_col)}")).alias("__text"), "*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "__text"):
+                found = compute(*utf8(piece.column(0)))
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(v) for v in found.values()), *piece.columns[1:]], [*found, *piece.schema.names[1:]])
+
+    given = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inner.schema[1:])
+    return inner.mapInArrow(run, f"{schema}, {given}"), [F.col(f"__c{i}").alias(c) for i, c in enumerate(names)]
+
+
 def powers(multiplier: int, count: int) -> np.ndarray:
     """multiplier ** 0 .. count - 1, modulo 2 ** 64."""
     known = _powers.get(multiplier)

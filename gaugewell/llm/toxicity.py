@@ -26,7 +26,7 @@ from gaugewell.llm.models import (
     scored,
     sigmoid,
 )
-from gaugewell.llm.texts import LOWER, NO_LETTER, Words
+from gaugewell.llm.texts import LOWER, NO_LETTER, Words, annotate
 
 #: Steps over the sample in all: a small sample is passed more often, up to the last number.
 STEPS, PASSES, MOST_PASSES = 60_000, 5, 60
@@ -101,16 +101,9 @@ def train(labels: np.ndarray, rows: Sparse) -> dict[str, np.ndarray]:
     return {"weights": model.weights(), "theta": theta}
 
 
-def toxicity(
-    docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS,
-    threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", labelled: DataFrame | None = None,
-) -> DataFrame:
-    """Per document: id, severity (expected grade), grade (likeliest), probability (of any grade above 0), toxic.
-
-    ``labelled`` holds the texts that the labels speak of, if they are not ``docs`` themselves.
-    """
-    drawn = sample(docs if labelled is None else labelled, labels, label, sample_rows, id_col, text_col)
-    model = fit(drawn, features, train)
+def _scores(docs: DataFrame, labels: DataFrame, label: str, sample_rows: int, id_col: str, text_col: str):
+    """Fit the model; the function from features to the scores."""
+    model = fit(sample(docs, labels, label, sample_rows, id_col, text_col), features, train)
     weights = model.get("weights", np.zeros(1 << BUCKET_BITS)).astype(np.float32)
     theta = model.get("theta", np.full(GRADES - 1, np.inf))
 
@@ -119,6 +112,26 @@ def toxicity(
         edges = np.concatenate([np.ones((len(over), 1)), over, np.zeros((len(over), 1))], axis=1)
         return {"severity": over.sum(axis=1), "grade": (edges[:, :-1] - edges[:, 1:]).argmax(axis=1).astype(np.int32),
                 "probability": over[:, 0]}
+    return values
+
 
+def toxicity(
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS,
+    threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """Per document: id, severity (expected grade), grade (likeliest), probability (of any grade above 0), toxic."""
+    values = _scores(docs, labels, label, sample_rows, id_col, text_col)
     found = scored(docs, features, values, "severity double, grade int, probability double", id_col, text_col)
     return found.withColumn("toxic", F.col("probability") >= threshold)
+
+
+def drop_toxic(
+    docs: DataFrame, labelled: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS,
+    threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs``, columns unchanged, that are not toxic by the model of the labelled documents."""
+    values = _scores(labelled, labels, label, sample_rows, id_col, text_col)
+    rows, given = annotate(
+        docs, lambda data, offsets: {"__probability": values(features(data, offsets))["probability"]},
+        "__probability double", text_col)
+    return rows.where(F.col("__probability") < threshold).select(*given)
