@@ -40,17 +40,25 @@ PATTERNS: dict[str, list[str]] = {
     "credit_card": [r"^\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}$"],
     "social_security": [r"^\d{3}-?\d{2}-?\d{4}$"],
 }
+# Patterns above whose parts overlap try every split of a long run of digits before they give up.
+# These match the same texts and never look back.
+LINEAR = {
+    r"^\$?[\d,]+\.?\d*$": r"^\$?[\d,]++(?:\.\d*+)?+$",
+    r"^[\d,]+\.?\d*\s?(USD|EUR|GBP|JPY|CAD|AUD)$": r"^[\d,]++(?:\.\d*+)?+\s?(?:USD|EUR|GBP|JPY|CAD|AUD)$",
+    r"^\d+\.?\d*%$": r"^\d++(?:\.\d*+)?+%$",
+}
 # Words read as booleans.
 BOOLEAN_WORDS = ["true", "false", "yes", "no", "1", "0", "y", "n"]
 
-INTEGER_TEXT = r"^\s*[+-]?\d+(_\d+)*\s*$"
-POINT_NUMBER_TEXT = (
-    r"^\s*[+-]?((\d+(_\d+)*)\.(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?\s*$"
-)
-PLAIN_NUMBER_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+# Repeated groups are possessive: Java matches others by recursion, one call per repeat, and a
+# long value would overflow the stack of its task.
+_DIGITS = r"\d+(?:_\d+)*+"
+_EXPONENT = rf"(?:[eE][+-]?{_DIGITS})?"
+INTEGER_TEXT = rf"^\s*[+-]?{_DIGITS}\s*$"
+POINT_NUMBER_TEXT = rf"^\s*[+-]?(?:{_DIGITS}\.(?:{_DIGITS})?|\.{_DIGITS}){_EXPONENT}\s*$"
+PLAIN_NUMBER_TEXT = r"^\s*[+-]?(?:\d++(?:\.\d*+)?+|\.\d++)(?:[eE][+-]?\d++)?\s*$"
 FLOAT_TEXT = (
-    r"(?i)^\s*[+-]?((\d+(_\d+)*)(\.(\d+(_\d+)*)?)?(e[+-]?\d+(_\d+)*)?"
-    r"|\.\d+(_\d+)*(e[+-]?\d+(_\d+)*)?|inf|infinity|nan)\s*$"
+    rf"(?i)^\s*[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?{_EXPONENT}|\.{_DIGITS}{_EXPONENT}|inf|infinity|nan)\s*$"
 )
 JSON_SCALAR = (
     r"^[ \t\n\r]*(-?(0|[1-9]\d*)(\.\d+)?([eE][+-]?\d+)?"
@@ -62,7 +70,7 @@ CLOCK = r"(?:[01]?\d|2[0-3]):[0-5]?\d:[0-5]?\d"
 def matches(text: Column, pattern: str) -> Column:
     """The whole-text, case-insensitive match all pattern families use."""
     # (?d): only \n ends a line, so $ means what it means in Python
-    return text.rlike(f"(?di){pattern}")
+    return text.rlike(f"(?di){LINEAR.get(pattern, pattern)}")
 
 
 def any_pattern(patterns: list[str]) -> Callable[[Column], Column]:
@@ -111,6 +119,18 @@ def is_date(text: Column) -> Column:
     )
 
 
+# Formats of days and times, in the order that decides between month and day first.
+TIME_FORMATS = [
+    "yyyy-M-d", "M/d/yyyy", "d/M/yyyy", "yyyy/M/d", "d-M-yyyy", "M-d-yyyy", "MMMM d, yyyy", "d MMMM yyyy",
+    "yyyy-M-d H:m:s", "yyyy-M-d H:m:s.SSSSSS", "yyyy-M-d'T'H:m:s", "yyyy-M-d'T'H:m:s'Z'", "M/d/yyyy H:m:s",
+]
+
+
+def to_time(text: Column) -> Column:
+    """The time that a date or datetime text denotes, else null."""
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(fmt)) for fmt in TIME_FORMATS])
+
+
 def is_datetime(text: Column) -> Column:
     spaced = rf"^(?!0000)\d{{4}}-\d{{1,2}}-\d{{1,2}}\s+{CLOCK}(?:\.\d{{1,6}})?$"
     lettered = rf"(?i)^(?!0000)\d{{4}}-\d{{1,2}}-\d{{1,2}}T{CLOCK}(?:\.\d{{1,6}}|Z)?$"

@@ -7,9 +7,16 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# How a declared type is checked.
-CAST_TYPES = {"integer": "bigint", "float": "double", "boolean": "boolean", "date": "date"}
+from gaugewell.functions.detectors import is_boolean, is_date, is_datetime, is_integer, parses_as_float, to_time
+from gaugewell.sources.sinks import save
+
+# How the text of a value is checked against a declared type.
+TYPE_CHECKS = {
+    "string": None, "integer": is_integer, "float": parses_as_float, "boolean": is_boolean,
+    "date": is_date, "datetime": is_datetime,
+}
 
 
 @dataclass
@@ -18,6 +25,10 @@ class FieldRule:
     nullable: bool = True
     regex: str | None = None
 
+    def __post_init__(self) -> None:
+        if self.dtype not in TYPE_CHECKS:
+            raise ValueError(f"Unknown type {self.dtype!r}; known types: {list(TYPE_CHECKS)}")
+
 
 @dataclass
 class Contract:
@@ -33,7 +44,17 @@ class Contract:
         )
 
 
-def _breaches(name: str, rule: FieldRule) -> list[Column]:
+def _conforms(value: Column, stored: T.DataType, declared: str) -> Column:
+    """A value is of the declared type by its storage, or else by its text."""
+    if isinstance(stored, T.NumericType) and declared in ("integer", "float"):
+        # whole numbers beside nulls are stored as doubles
+        return F.lit(True) if declared == "float" else F.floor(value) == value
+    if isinstance(stored, (T.DateType, T.TimestampType, T.TimestampNTZType)) and declared in ("date", "datetime"):
+        return F.lit(isinstance(stored, T.DateType) == (declared == "date"))
+    return TYPE_CHECKS[declared](value.cast("string"))
+
+
+def _breaches(name: str, rule: FieldRule, stored: T.DataType) -> list[Column]:
     value = F.col("`" + name.replace("`", "``") + "`")
     text = value.cast("string")
 
@@ -48,8 +69,8 @@ def _breaches(name: str, rule: FieldRule) -> list[Column]:
     found = []
     if not rule.nullable:
         found.append(breach(value.isNull(), "nullable", "Field cannot be null"))
-    if rule.dtype in CAST_TYPES:
-        bad = value.isNotNull() & text.try_cast(CAST_TYPES[rule.dtype]).isNull()
+    if TYPE_CHECKS[rule.dtype]:
+        bad = value.isNotNull() & ~_conforms(value, stored, rule.dtype)
         found.append(breach(bad, "dtype", f"Value is not of type {rule.dtype}"))
     if rule.regex:
         found.append(breach(~text.rlike(rule.regex), "regex", "Value does not match the pattern"))
@@ -61,7 +82,7 @@ def check_contract(df: DataFrame, contract: Contract) -> DataFrame:
     breaches = []
     for name, rule in contract.fields.items():
         if name in df.columns:
-            breaches += _breaches(name, rule)
+            breaches += _breaches(name, rule, df.schema[name].dataType)
         elif not rule.nullable:
             breaches.append(
                 F.struct(
@@ -113,10 +134,21 @@ def route_orders(
     """The routing of orders: no nulls but in ``optional``, no negative amount, no
     shipping before the order."""
     required = [c for c in df.columns if c not in optional]
-    suspicious = (F.col(amount).cast("double") < 0) | (F.col(shipped) < F.col(ordered))
+    suspicious = (F.col(amount).cast("double") < 0) | (_time(df, shipped) < _time(df, ordered))
     return route(df, required, suspicious)
 
 
+def _time(df: DataFrame, name: str) -> Column:
+    """A column as times; texts in any of the known formats."""
+    value = F.col("`" + name.replace("`", "``") + "`")
+    return to_time(value) if isinstance(df.schema[name].dataType, T.StringType) else value.cast("timestamp")
+
+
+def write_routed(routed: DataFrame, folder: str, format: str = "csv") -> dict[str, str]:
+    """Write the three routed sets, each as a table of its own; where they are."""
+    return {status: save(rows, f"{folder.rstrip('/')}/{status}.{format}") for status, rows in by_status(routed).items()}
+
+
 def by_status(routed: DataFrame) -> dict[str, DataFrame]:
     """The three routed sets."""
     return {

@@ -335,16 +335,20 @@ def field_statistics(df: DataFrame, detectors: Detectors, samples: int) -> DataF
 
 
 def _leading_values(
-    df: DataFrame, ranked: list[str], sampled: dict[int, list[int]], top: int
+    df: DataFrame, ranked: list[str], sampled: dict[int, list[int]], short: list[int], top: int, samples: int
 ) -> DataFrame:
-    """(ordinal, key, is_long, cnt, rank): leading values and sampled values.
+    """(ordinal, key, cnt): leading values and sampled values.
 
-    Columns in ``ranked`` are counted and ranked; of the other columns only the
-    values whose hash was drawn are counted.  The rank filter sits directly above
-    the window, so every task keeps ``top`` rows per column before the shuffle.
+    Columns in ``ranked`` are counted and ranked; of ``sampled`` columns only the values whose
+    hash was drawn are counted; of ``short`` columns, which have few values, those of the least
+    hashes are taken. Values are whole texts here whatever their length: such columns repeat
+    theirs, and every task combines its copies before the shuffle. The rank filter sits
+    directly above the window, so every task keeps ``top`` rows per column before the shuffle.
     """
     names = df.columns
-    keyed = _digested(cells(df, [*ranked, *(names[i] for i in sampled)]))
+    keyed = cells(df, [*ranked, *(names[i] for i in [*sampled, *short])])
+    digest = F.when(F.length("txt") > LONG_TEXT, F.sha2("txt", 256)).otherwise(F.col("txt"))
+    keyed = keyed.select("ordinal", "whole", "real", "txt", F.xxhash64("whole", "real", digest).alias("hash"))
     if sampled:
         hashes = F.create_map(
             *[
@@ -353,36 +357,24 @@ def _leading_values(
                 for part in (F.lit(ordinal), F.array(*[F.lit(h) for h in drawn]))
             ]
         )
-        drawn = F.array_contains(F.try_element_at(hashes, F.col("ordinal")), _cell_hash())
-        keyed = keyed.where(F.col("ordinal").isin([names.index(c) for c in ranked]) | drawn)
-    order = Window.partitionBy("ordinal").orderBy(F.col("cnt").desc(), F.col("key").asc())
-    return (
+        drawn = F.array_contains(F.try_element_at(hashes, F.col("ordinal")), F.col("hash"))
+        keyed = keyed.where(F.col("ordinal").isin([*(names.index(c) for c in ranked), *short]) | drawn)
+    counted = (
         keyed.where(F.coalesce("whole", "real", F.when(F.col("txt").isNotNull(), 0)).isNotNull())
-        .groupBy(*CELL_KEY)
+        .groupBy("ordinal", "whole", "real", "txt", "hash")
         .agg(F.count(F.lit(1)).alias("cnt"))
-        .select(
-            "ordinal", "cnt", F.col("long").isNotNull().alias("is_long"),
-            _rendered(df.schema).alias("key"),
-        )
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= top)
+        .select("ordinal", "cnt", "hash", _rendered(df.schema).alias("key"))
     )
+    by_count = Window.partitionBy("ordinal").orderBy(F.col("cnt").desc(), F.col("key").asc())
+    by_hash = Window.partitionBy("ordinal").orderBy("hash")
 
+    def first(rows: DataFrame, order, most: int) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("ordinal", "key", "cnt")
 
-def _long_texts(df: DataFrame, digests: list[tuple[int, str]]) -> dict[tuple[int, str], str]:
-    """The long texts behind a few digests (at most one per profiled value)."""
-    names = df.columns
-    wanted = df.sparkSession.createDataFrame(digests, "ordinal int, digest string")
-    found = (
-        cells(df, sorted({names[ordinal] for ordinal, _ in digests}))
-        .where(F.length("txt") > LONG_TEXT)
-        .select("ordinal", "txt", F.sha2("txt", 256).alias("digest"))
-        .join(F.broadcast(wanted), ["ordinal", "digest"])
-        # grouping by the text lets every task drop its copies before the shuffle
-        .groupBy("ordinal", "digest", "txt")
-        .count()
-    )
-    return {(r["ordinal"], r["digest"]): r["txt"] for r in found.collect()}
+    if not short:
+        return first(counted, by_count, top)
+    is_short = F.col("ordinal").isin(short)
+    return first(counted.where(~is_short), by_count, top).union(first(counted.where(is_short), by_hash, samples))
 
 
 def _number(column: Column, dtype: T.DataType) -> Column:
@@ -501,16 +493,19 @@ def learn_profile(
     profiles = {i: _judge(row, names[i], detectors) for i, row in rows.items()}
 
     categorical = [p.field for p in profiles.values() if p.is_categorical]
-    sampled = {}
+    sampled, short = {}, []
     if sample_values:
         for i, row in rows.items():
-            drawn = [row[f"sample_{b}"] for b in range(SAMPLE_BUCKETS)]
-            drawn = [h for h in drawn if h is not None][:sample_values]
-            if drawn and not profiles[i].is_categorical:
+            if profiles[i].is_categorical or not row["unique_values"]:
+                continue
+            drawn = [h for b in range(SAMPLE_BUCKETS) if (h := row[f"sample_{b}"]) is not None][:sample_values]
+            if len(drawn) < min(sample_values, row["unique_values"]):
+                short.append(i)  # the buckets do not hold enough of its values
+            else:
                 sampled[i] = drawn
-    if categorical or sampled:
-        top = max(max_categories, sample_values)
-        _fill_values(df, profiles, categorical, sampled, top, max_categories, sample_values)
+    if categorical or sampled or short:
+        found = _leading_values(df, categorical, sampled, short, max(max_categories, sample_values), sample_values)
+        _fill_values(found, profiles, max_categories, sample_values)
 
     numeric = [p.field for p in profiles.values() if p.detected_type in NUMERIC_TYPES]
     if numeric:
@@ -523,16 +518,11 @@ def learn_profile(
     return TableProfile(list(profiles.values()), detectors)
 
 
-def _fill_values(df, profiles, categorical, sampled, top, max_categories, sample_values) -> None:
+def _fill_values(found: DataFrame, profiles: dict[int, FieldProfile], max_categories: int, sample_values: int) -> None:
     """Put categories, frequencies and samples into the profiles."""
-    rows = _leading_values(df, categorical, sampled, top).collect()
-    digests = [(r["ordinal"], r["key"]) for r in rows if r["is_long"]]
-    texts = _long_texts(df, digests) if digests else {}
     leaders = defaultdict(list)
-    for row in sorted(rows, key=lambda r: (r["ordinal"], r["rank"])):
-        key = row["key"]
-        text = texts[row["ordinal"], key] if row["is_long"] else key
-        leaders[row["ordinal"]].append((text, row["cnt"]))
+    for row in sorted(found.collect(), key=lambda r: (r["ordinal"], -r["cnt"], r["key"].encode())):
+        leaders[row["ordinal"]].append((row["key"], row["cnt"]))
     for ordinal, values in leaders.items():
         profile = profiles[ordinal]
         if profile.is_categorical:

@@ -22,7 +22,7 @@ from gaugewell.operators.report import (
     validation_report,
 )
 from gaugewell.operators.validate import HIGH_QUALITY_SCORE, data_columns, validate
-from gaugewell.session import scratch_path
+from gaugewell.session import remove_path, scratch_path
 from gaugewell.sources.files import load
 from gaugewell.sources.sinks import write_json_row, write_splits
 from gaugewell.sources.topics import FileTopic, KafkaTopic
@@ -36,13 +36,13 @@ def _percent(part: int, whole: int) -> str:
     return f"{part / whole * 100:.2f}%" if whole else "0%"
 
 
-def store_validated(validated: DataFrame, threshold: float) -> tuple[DataFrame, dict]:
-    """Write validated rows once; the stored table and the counters seen on the way."""
+def store_validated(validated: DataFrame, threshold: float) -> tuple[DataFrame, dict, str]:
+    """Write validated rows once; the stored table, the counters seen on the way, and its path."""
     spark = validated.sparkSession
     path = scratch_path(spark, "validated")
     seen = Observation("validated rows")
     validated.observe(seen, *statistics_columns(threshold)).write.parquet(path)
-    return spark.read.parquet(path), seen.get
+    return spark.read.parquet(path), seen.get, path
 
 
 def validate_file(
@@ -59,7 +59,7 @@ def validate_file(
     records = to_records(load(spark, path, **read_options))
     if profile is None:
         profile = learn_profile(records, sample_values=3)
-    validated, seen = store_validated(validate(records, profile, source_file=path), quality_threshold)
+    validated, seen, stored = store_validated(validate(records, profile, source_file=path), quality_threshold)
     written = write_splits(
         validated, output_dir, quality_threshold,
         good=seen["valid_records"], high=seen["high_quality_count"],
@@ -75,6 +75,7 @@ def validate_file(
     )
     if history_path:
         append_run(run_statistics(validated), history_path)
+    remove_path(spark, stored)
     return {
         "status": "success",
         "total_records": seen["total_records"],
@@ -142,7 +143,7 @@ def file_to_topic(
     }
     if validate_before_send:
         profile = learn_profile(records)
-        validated, seen = store_validated(
+        validated, seen, stored = store_validated(
             validate(records, profile, source_file=path), HIGH_QUALITY_SCORE
         )
         columns = [F.col("`" + c.replace("`", "``") + "`") for c in data_columns(validated)]
@@ -154,6 +155,8 @@ def file_to_topic(
             "success_rate": _percent(seen["valid_records"], seen["total_records"]),
         }
     results["sending"] = send(records, topic, key_field)
+    if validate_before_send:
+        remove_path(spark, stored)
     results["status"] = "success"
     return results
 
@@ -187,7 +190,6 @@ def topic_to_analysis(
         validated, learned = empty, None
     else:
         learned = ingestion.profile(spark)
-        validated = validated.drop("batch_id")
     written = write_splits(validated, output_dir, quality_threshold, format)
     report = write_json_row(
         validation_report(validated, learned, duration), f"{out}/validation_report.json"

@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from gaugewell.functions.detectors import (
     BOOLEAN_WORDS,
-    FLOAT_TEXT,
-    INTEGER_TEXT,
     PATTERNS,
-    PLAIN_NUMBER_TEXT,
-    POINT_NUMBER_TEXT,
     Detectors,
 )
 from gaugewell.operators.profile import FieldProfile
 from gaugewell.plans.views import View
 
+# Numbers as the oracles read them, stated apart from the engine's patterns.
+_GAP, _SIGN, _RUN = r"[ \t\n\r\f]*", "[-+]?", "[0-9]+(_[0-9]+)*"
+_POWER = f"([eE]{_SIGN}{_RUN})?"
+INTEGER_TEXT = f"^{_GAP}{_SIGN}{_RUN}{_GAP}$"
+POINT_NUMBER_TEXT = f"^{_GAP}{_SIGN}({_RUN}[.]({_RUN})?|[.]{_RUN}){_POWER}{_GAP}$"
+FLOAT_TEXT = f"(?i)^{_GAP}{_SIGN}({_RUN}([.]({_RUN})?)?{_POWER}|[.]{_RUN}{_POWER}|inf|infinity|nan){_GAP}$"
+PLAIN_NUMBER_TEXT = f"^{_GAP}{_SIGN}([0-9]+[.]?[0-9]*|[.][0-9]+)([eE]{_SIGN}[0-9]+)?{_GAP}$"
+
+# The formats of dates and times.
 DATE_FORMATS = ["%Y-%m-%d", "%m/%d/%Y", "%d/%m/%Y", "%Y/%m/%d", "%d-%m-%Y", "%m-%d-%Y",
                 "%B %d, %Y", "%d %B %Y"]
 DATETIME_FORMATS = ["%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%dT%H:%M:%S",

@@ -205,9 +205,17 @@ TABLES = {
     "pages": _plain("pages", page_id="bigint", url="string", html="string"),
     "conversations": _plain("conversations", conv_id="bigint", turn="bigint", role="string",
                             text="string"),
+    "benchmark": _plain("benchmark", item_id="bigint", text="string"),
+    "labels": _plain("labels", doc_id="bigint", quality="bigint", toxic="bigint"),
     "people": PEOPLE,
 }
 
+# Thirty texts of 100 to 4740 characters, equally frequent where the keys are, and an empty column.
+TIED = View("customer", {
+    "tied": ("string", f"repeat(lpad({_text(f'{K} % 30')}, 2, '0'), 50 + 80 * ({K} % 30))"),
+    "nothing": ("string", "CAST(NULL AS STRING)"),
+})
+
 
 def declared(field: str, kind: str, nullable: bool = False, **rules) -> FieldProfile:
     """A hand-written profile row."""

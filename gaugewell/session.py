@@ -47,11 +47,20 @@ def local_session(cores: str = "*", app: str = "gaugewell") -> SparkSession:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder the cluster shares for checkpoints.
 
-    Only where ``spark.checkpoint.dir`` is unset (a single-machine session) is a
-    temporary folder made, and then kept in the session for later calls.
+    Where ``spark.checkpoint.dir`` is unset, a single-machine session gets a temporary folder,
+    kept in the session for later calls. A cluster must name one: its machines would each
+    write to a folder of their own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         root = tempfile.mkdtemp(prefix="gaugewell-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove what a run has written to a scratch path."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

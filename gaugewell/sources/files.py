@@ -13,23 +13,9 @@ from gaugewell.functions.detectors import PLAIN_NUMBER_TEXT
 from gaugewell.functions.text import CSV_NULL_TOKENS, null_if_token
 from gaugewell.operators.clean import flatten
 
-SUPPORTED_FORMATS = {
-    "csv": "Comma Separated Values",
-    "json": "JavaScript Object Notation",
-    "jsonl": "JSON Lines",
-    "parquet": "Apache Parquet",
-    "txt": "Text File",
-    "tsv": "Tab Separated Values",
-    "dat": "Data File",
-    "xml": "XML Document",
-}
 SEPARATORS = [",", ";", "\t", "|"]
 
 
-def get_supported_formats() -> dict[str, str]:
-    return dict(SUPPORTED_FORMATS)
-
-
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -71,19 +57,25 @@ def _csv_reader(spark: SparkSession, sep: str, encoding: str, multiline: bool, o
     return reader.options(**options)
 
 
-def count_ragged(reader, path: str, columns: list[str]) -> int:
-    """Rows with more fields than the header has names.
-
-    With one extra declared column a row of just one field too many fits, and a
-    longer one fills it; a row that fits the header leaves it empty.
-    """
+def _marked(reader, path: str, columns: list[str], sep: str) -> DataFrame:
+    """(first, raw, long) per row: its raw text if its number of fields is not the header's,
+    and whether it is longer. Fields are counted outside quotes; shorter rows are filled with nulls."""
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(columns))])
-    schema = schema.add("_extra", T.StringType()).add("_malformed", T.StringType())
+    schema = schema.add("_malformed", T.StringType())
     reader = reader.option("columnNameOfCorruptRecord", "_malformed")
     # with pruning the parser would not count the fields of a row
     rows = reader.option("columnPruning", False).schema(schema).csv(path)
-    extra = F.col("_malformed").isNull() | F.col("_extra").isNotNull()
-    return rows.agg(F.count_if(extra).alias("n")).first()["n"]
+    bare = F.regexp_replace("_malformed", r'"[^"]*+"', "")
+    long = F.col("_malformed").isNotNull() & (F.size(F.split(bare, re.escape(sep), -1)) > len(columns))
+    # the parser does not run for the marks alone, so a field is asked for as well
+    return rows.select(F.col("c0").alias("first"), F.col("_malformed").alias("raw"), long.alias("long"))
+
+
+def count_ragged(reader, path: str, columns: list[str], sep: str) -> int:
+    """Rows with more fields than the header has names, empty ones included."""
+    if not columns:
+        return 0
+    return _marked(reader, path, columns, sep).agg(F.count_if("long").alias("n"), F.count("first")).first()["n"]
 
 
 def read_delimited(
@@ -95,12 +87,14 @@ def read_delimited(
     fallback: bool = False,
     typed: bool = True,
     nullable_int_as_double: bool = True,
+    cut_long_rows: bool = False,
     **options,
 ) -> DataFrame:
     """Delimited text with a header; null tokens read as null, types inferred.
 
     ``fallback`` tries the other separators when the rows do not fit under ``sep``;
-    the first one under which no row has too many fields is taken.
+    the first one under which no row has too many fields is taken. Rows that are longer
+    than the header are an error, unless ``cut_long_rows`` asks to drop their surplus.
     """
     encoding = encoding or detect_encoding(spark, path)
 
@@ -108,19 +102,25 @@ def read_delimited(
         return _csv_reader(spark, separator, encoding, multiline, options)
 
     frame = reader(sep).csv(path)
-    if fallback and count_ragged(reader(sep), path, frame.columns):
-        for candidate in SEPARATORS:
+    if not cut_long_rows and (long := count_ragged(reader(sep), path, frame.columns, sep)):
+        for candidate in SEPARATORS if fallback else []:
             frame = reader(candidate).csv(path)
-            if not count_ragged(reader(candidate), path, frame.columns):
+            if candidate != sep and not count_ragged(reader(candidate), path, frame.columns, candidate):
                 break
         else:
-            raise ValueError(f"Unable to read CSV file {path}: rows are longer than the header")
+            raise ValueError(f"Unable to read file {path}: {long} rows are longer than the header")
     texts = frame.select(
         *[null_if_token(F.col(_quoted(c)), CSV_NULL_TOKENS).alias(c) for c in frame.columns]
     )
     return infer_storage(texts, nullable_int_as_double) if typed else texts
 
 
+def long_rows(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", multiline: bool = False, **options) -> DataFrame:
+    """The raw text (``raw``) of rows with more fields than the header has names."""
+    reader = _csv_reader(spark, sep, encoding, multiline, options)
+    return _marked(reader, path, reader.csv(path).columns, sep).where(F.col("long") & (F.col("first").isNotNull() | F.col("first").isNull())).select("raw", "first").select("raw")
+
+
 def read_csv(spark: SparkSession, path: str, **options) -> DataFrame:
     """CSV with separator fallback."""
     return read_delimited(spark, path, **{"sep": ",", "fallback": True, **options})
@@ -173,44 +173,56 @@ def infer_storage(texts: DataFrame, nullable_int_as_double: bool = True) -> Data
 # ------------------------------------------------------------------ JSON
 
 
-def _first_line(spark: SparkSession, path: str) -> str:
-    row = spark.read.text(path).where(F.trim("value") != "").first()
-    return row["value"].strip() if row else ""
+def _structure(spark: SparkSession, path: str) -> tuple[str, list[str], bool, int, int]:
+    """First character, keys of the first record, whether the first line is an object of its own,
+    and how many lines there are and are objects of their own. No text leaves the cluster."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    text = F.trim("value")
+    own = text.startswith("{") & F.try_parse_json(text).isNotNull()
+    head = lines.select(
+        F.substring(text, 1, 1).alias("start"), own.alias("own"), F.when(own, F.json_object_keys(text)).alias("names")
+    ).first()
+    if head is None:
+        return "", [], False, 0, 0
+    count = lines.agg(F.count(F.lit(1)).alias("lines"), F.count_if(own).alias("own")).first()
+    return head["start"], head["names"] or [], bool(head["own"]), count["lines"], count["own"]
+
+
+def json_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """The lines (``value``) of a JSON Lines file that are no JSON object."""
+    text = F.trim("value")
+    own = text.startswith("{") & F.try_parse_json(text).isNotNull()
+    return spark.read.text(path).where((text != "") & ~own)
 
 
 def read_json(spark: SparkSession, path: str, **options) -> DataFrame:
     """A JSON document, or JSON Lines.
 
-    Schema inference over lines shows whether each line is a document of its own.
-    If not, the file is one document: an array gives a row per object, an object
-    one row, flattened when all its values are nested.
+    The lines decide: if the first is an object of its own, or most are, the file is JSON
+    Lines and a line that is not one is an error. Otherwise the file is one document: an
+    array gives a row per object, an object one row, flattened when all its values are nested.
     """
-    head = _first_line(spark, path)
-    if head[:1] not in ("[", "{"):
+    start, keys, first_own, lines, own = _structure(spark, path)
+    if start not in ("[", "{"):
         raise ValueError(f"Unable to parse JSON file {path}: unsupported JSON structure")
-    frame = spark.read.options(**options).json(path)
-    if "_corrupt_record" in frame.columns:
-        frame = spark.read.option("multiLine", True).options(**options).json(path)
+    if start == "{" and (first_own or 2 * own > lines):
+        if own < lines:
+            raise ValueError(f"Unable to parse JSON file {path}: {lines - own} of {lines} lines are no JSON object")
+        frame, single = spark.read.options(**options).json(path), lines == 1
+        first = [k for k in keys if k in frame.columns]  # inference sorts the columns by name
+        frame = frame.select(*[_quoted(c) for c in first + [c for c in frame.columns if c not in first]])
+    else:
+        # an array on one line needs no whole-file reader
+        frame = spark.read.option("multiLine", lines > 1 or start == "{").options(**options).json(path)
         if "_corrupt_record" in frame.columns:
             raise ValueError(f"Unable to parse JSON file {path}")
-        single = head.startswith("{")
-    else:
-        frame = _in_written_order(spark, frame, head)
-        single = head.startswith("{") and frame.limit(2).count() == 1
+        single = start == "{"
     nested = (T.StructType, T.ArrayType, T.MapType)
     if single and all(isinstance(f.dataType, nested) for f in frame.schema.fields):
         return flatten(frame)
     return frame
 
 
-def _in_written_order(spark: SparkSession, frame: DataFrame, head: str) -> DataFrame:
-    """Columns in the order of the first record; inference sorts them by name."""
-    keys = spark.range(1).select(F.json_object_keys(F.lit(head)).alias("k")).first()["k"] or []
-    first = [k for k in keys if k in frame.columns]
-    rest = [c for c in frame.columns if c not in first]
-    return frame.select(*[_quoted(c) for c in first + rest])
-
-
 # ------------------------------------------------------------------ Parquet, XML
 
 
@@ -229,12 +241,26 @@ def read_parquet(
 
 
 def _row_tag(spark: SparkSession, path: str) -> str:
-    """The name of the first element inside the root."""
-    head = " ".join(r["value"] for r in spark.read.text(path).limit(50).collect())
-    tags = re.findall(r"<([A-Za-z_][\w.:-]*)", head)
-    if len(tags) < 2:
-        raise ValueError(f"Unable to read XML file {path}: no rows inside the root element")
-    return tags[1]
+    """The name of the first element inside the root, by a pull parser that reads no further."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.getFileStatus(target).isDirectory():
+        parts = [s.getPath() for s in files.listStatus(target)]
+        target = min((p for p in parts if p.getName()[0] not in "._"), key=lambda p: p.getName())
+    factory = jvm.javax.xml.stream.XMLInputFactory.newInstance()
+    factory.setProperty("javax.xml.stream.supportDTD", False)
+    factory.setProperty("javax.xml.stream.isSupportingExternalEntities", False)
+    stream = files.open(target)
+    try:
+        reader, found = factory.createXMLStreamReader(stream), 0
+        while reader.hasNext():
+            found += reader.next() == 1  # the start of an element
+            if found == 2:
+                return reader.getLocalName()
+    finally:
+        stream.close()
+    raise ValueError(f"Unable to read XML file {path}: no rows inside the root element")
 
 
 def read_xml(spark: SparkSession, path: str, row_tag: str | None = None, **options) -> DataFrame:
@@ -252,25 +278,23 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(conf).exists(hadoop_path)
 
 
+# What reads a file, by the ending of its name.
+READERS = {
+    "csv": read_csv, "json": read_json, "jsonl": read_json, "parquet": read_parquet, "xml": read_xml,
+    "txt": read_text, "dat": read_text, "tsv": lambda spark, path, **options: read_text(spark, path, **{**options, "delimiter": "\t"}),
+}
+
+
+def get_supported_formats() -> list[str]:
+    return list(READERS)
+
+
 def load(spark: SparkSession, path: str, **options) -> DataFrame:
     """Read a file by its extension."""
     path = str(path)
     if not path_exists(spark, path):
         raise FileNotFoundError(f"File not found: {path}")
     extension = PurePosixPath(path).suffix.lower().lstrip(".")
-    if extension not in SUPPORTED_FORMATS:
-        raise ValueError(
-            f"Unsupported file format: {extension}. "
-            f"Supported formats: {list(SUPPORTED_FORMATS)}"
-        )
-    if extension == "csv":
-        return read_csv(spark, path, **options)
-    if extension in ("json", "jsonl"):
-        return read_json(spark, path, **options)
-    if extension == "parquet":
-        return read_parquet(spark, path, **options)
-    if extension == "xml":
-        return read_xml(spark, path, **options)
-    if extension == "tsv":
-        options["delimiter"] = "\t"
-    return read_text(spark, path, **options)
+    if extension not in READERS:
+        raise ValueError(f"Unsupported file format: {extension}. Supported formats: {list(READERS)}")
+    return READERS[extension](spark, path, **options)

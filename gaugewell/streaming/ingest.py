@@ -53,12 +53,12 @@ class Ingestion:
         """All validated rows so far; None before the first batch."""
         if not path_exists(spark, self.validated_path):
             return None
-        return spark.read.parquet(self.validated_path)
+        return _stored(spark, self.validated_path)
 
     def rejected(self, spark: SparkSession) -> DataFrame | None:
         if not path_exists(spark, self.rejected_path):
             return None
-        return spark.read.parquet(self.rejected_path)
+        return _stored(spark, self.rejected_path)
 
     def profile(self, spark: SparkSession) -> TableProfile | None:
         if not path_exists(spark, self.profile_path):
@@ -72,7 +72,13 @@ class Ingestion:
 
 
 def _batch_path(path: str, batch_id: int) -> str:
-    return f"{path}/batch_id={batch_id}"
+    # no partition folder: its column could meet a field of the messages
+    return f"{path}/batch-{batch_id}"
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all batches."""
+    return spark.read.option("recursiveFileLookup", True).parquet(path)
 
 
 def start(
@@ -106,8 +112,10 @@ def start(
 
     def remaining(batch_id: int) -> int:
         rows = ingestion.validated(spark)
-        taken = 0 if rows is None else rows.where(F.col("batch_id") != batch_id).count()
-        return max(0, max_records - taken)
+        if rows is None:
+            return max_records
+        own = F.col("_metadata.file_path").contains(f"/batch-{batch_id}/")  # of a run that failed
+        return max(0, max_records - rows.where(~own).count())
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         rejected = malformed(batch).select("key", "value")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugewell.functions.detectors import BOOLEAN_WORDS, PATTERNS, Detectors
+from gaugewell.operators.contract import Contract, check_contract
 from gaugewell.functions.text import WHITESPACE, double_text, strip, value_text
 from gaugewell.plans.oracles import DATE_FORMATS, DATETIME_FORMATS
 
@@ -114,3 +115,22 @@ def test_strip_removes_every_python_whitespace(spark):
 def test_unknown_mode_is_refused():
     with pytest.raises(ValueError):
         Detectors(mode="loose")
+
+
+def test_long_values_do_not_overflow_the_stack(spark):
+    long = ["1" + "_1" * 50_000, "1." + "1_" * 50_000 + "1", "9" * 100_000, "1e" + "1_" * 50_000 + "x", "a@" * 50_000]
+    frame = spark.createDataFrame([(t,) for t in long], "v string")
+    detectors = Detectors()
+    found = frame.select(*[detectors.test(k, F.col("v")).alias(k) for k in ("integer", "float", "currency", "url", "email")]).collect()
+    assert [r.integer for r in found] == [True, False, True, False, False]
+    assert [r.float for r in found] == [False, True, False, False, False]
+
+
+def test_contract_types_by_detector(spark):
+    frame = spark.createDataFrame([("1.0d", "zz", 1.0), ("0x1.0p3", "2025-13-01 00:00:00", 1.5), ("1.5", "2025-12-01 00:00:00", None)],
+                                  "f string, t string, n double")
+    contract = Contract.from_dict({"fields": {"f": {"dtype": "float"}, "t": {"dtype": "datetime"}, "n": {"dtype": "integer"}}})
+    found = [[b.field for b in r._breaches] for r in check_contract(frame, contract).collect()]
+    assert found == [["f", "t"], ["f", "t", "n"], []]
+    with pytest.raises(ValueError, match="Unknown type"):
+        Contract.from_dict({"fields": {"f": {"dtype": "decimal"}}})

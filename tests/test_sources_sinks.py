@@ -47,7 +47,7 @@ def test_separator_fallback(spark, tmp_path):
     path = write(tmp_path / "c.csv", "x,y\n1,2,3\n")
     assert load(spark, path).columns == ["x,y"]  # the first separator that fits
     path = write(tmp_path / "d.csv", "x,y;z|w\tv\n1,2,3;1;2|3|4\t5\t6\n")
-    with pytest.raises(ValueError, match="Unable to read CSV"):
+    with pytest.raises(ValueError, match="Unable to read file"):
         load(spark, path)
 
 
@@ -149,3 +149,29 @@ def test_file_topic_round_trip(spark, tmp_path):
     topic.write(encode(spark.range(3)))
     topic.write(encode(spark.range(3, 5)))
     assert {r.id for r in decode(topic.read(spark), "id bigint").collect()} == set(range(5))
+
+
+def test_readers_raise_rather_than_lose_rows(spark, tmp_path):
+    good = "".join(f'{{"a": {i}}}\n' for i in range(110))
+    with pytest.raises(ValueError, match="1 of 111"):
+        load(spark, write(tmp_path / "bad.jsonl", good + '{"a": 1,,}\n'))
+    with pytest.raises(ValueError, match="1 of 111"):
+        load(spark, write(tmp_path / "bad_first.jsonl", '{"a": 1\n' + good))
+    for name in ("t.tsv", "t.dat"):
+        with pytest.raises(ValueError, match="longer than the header"):
+            load(spark, write(tmp_path / ("long_" + name), "x\ty\n1\t2\t3\n"))
+    with pytest.raises(ValueError, match="longer than the header"):
+        read_csv(spark, write(tmp_path / "empty_fields.csv", "x,y\n1,2,,\n"), fallback=False)
+    assert rows(load(spark, write(tmp_path / "short.csv", 'x,y\n1\n"a,b",2\n'))) == [("1", None), ("a,b", 2.0)]
+
+
+def test_json_documents_by_structure(spark, tmp_path):
+    assert load(spark, write(tmp_path / "one_line.json", '[{"a": 1}, {"a": 2}]')).count() == 2
+    nested = '{\n "items": [\n  {"a": 1},\n  {"a": 2}\n ],\n "n": 2\n}'
+    assert load(spark, write(tmp_path / "document.json", nested)).count() == 1
+
+
+def test_xml_rows_behind_comments(spark, tmp_path):
+    comment = "<!-- <note> not a row\n" + "line\n" * 60 + "-->"
+    path = write(tmp_path / "c.xml", f"<?xml version='1.0'?>{comment}<rows><row><a>1</a></row><row><a>2</a></row></rows>")
+    assert sorted(r.a for r in load(spark, path).collect()) == [1, 2]

@@ -24,7 +24,8 @@ def topic(spark):
 
 
 def counts(rows):
-    return {(r.batch_id, r._is_valid): r["count"] for r in rows.groupBy("batch_id", "_is_valid").count().collect()}
+    batch = F.regexp_extract("_metadata.file_path", r"/batch-(\d+)/", 1).cast("int").alias("batch")
+    return {(r.batch, r._is_valid): r["count"] for r in rows.groupBy(batch, "_is_valid").count().collect()}
 
 
 def test_learned_once_and_frozen(spark, topic):
@@ -90,14 +91,14 @@ def test_batch_and_payload_verdicts_agree(spark, table):
     assert direct[1] == through[1] and direct[0] == pytest.approx(through[0])
 
 
-def test_flows(spark, fixture_file, tmp_path):
-    path = fixture_file("customers")
+def test_flows(spark, inputs, tmp_path):
+    path = inputs("customers")
     topic = FileTopic(str(tmp_path / "topic"))
     results = file_to_topic_to_analysis(spark, path, topic, str(tmp_path / "out"))
     assert results["file_to_topic"]["sending"]["sent_records"] == 30
     assert results["topic_to_analysis"]["processing_summary"]["valid_records"] == 30
     raw = FileTopic(str(tmp_path / "raw"))
     assert send_from_file(spark, path, raw, "CustomerID")["sent_records"] == 30
-    assert raw.read(spark).where("key = 'BOTTM'").count() == 1
+    assert raw.read(spark).where("key = 'KAAAA'").count() == 1
     unchecked = FileTopic(str(tmp_path / "unchecked"))
     assert file_to_topic(spark, path, unchecked, validate_before_send=False)["status"] == "success"
