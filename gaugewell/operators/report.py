@@ -45,25 +45,18 @@ EXCELLENT_SHARE, POOR_SHARE, STRONG_SHARE = 80, 30, 90
 FAST_RECORDS_PER_SECOND, SLOW_RECORDS_PER_SECOND = 1000, 100
 
 
-def statistics_columns(threshold: float | None = None) -> list[Column]:
-    """Aggregates of a run, for ``agg`` or for ``observe``; levels count valid rows only."""
-    valid = F.col("_is_valid")
-    columns = [
-        F.count(F.lit(1)).alias("total_records"),
-        F.count_if(valid).alias("valid_records"),
-        F.count_if(~valid).alias("invalid_records"),
-    ]
-    columns += [
-        F.count_if(valid & (F.col("_quality_level") == level)).alias(f"{level}_quality")
-        for level in QUALITY_LEVELS
-    ]
+def statistics_columns(threshold: float | None = None, counts: Column | None = None) -> list[Column]:
+    """Aggregates of a run, for ``agg`` or for ``observe``; levels count valid rows only.
+
+    ``counts`` says which rows stand for a record, if not all do.
+    """
+    valid, counts = F.col("_is_valid"), F.lit(True) if counts is None else counts
+    tests = {"total_records": counts, "valid_records": counts & valid, "invalid_records": counts & ~valid}
+    tests |= {f"{level}_quality": counts & valid & (F.col("_quality_level") == level) for level in QUALITY_LEVELS}
     if threshold is not None:
         high = valid & (F.col("_quality_score") >= threshold)
-        columns += [
-            F.count_if(high).alias("high_quality_count"),
-            F.count_if(~high).alias("low_quality_count"),
-        ]
-    return columns
+        tests |= {"high_quality_count": counts & high, "low_quality_count": counts & ~high}
+    return [F.count_if(test).alias(name) for name, test in tests.items()]
 
 
 def success_rate(valid: Column, total: Column) -> Column:
@@ -195,11 +188,32 @@ def summary_metrics(stats: DataFrame, duration_seconds: float | None) -> DataFra
 # ------------------------------------------------------------------ insights
 
 
-def _numbered(stats: DataFrame, insights: list[Column], nothing: str) -> DataFrame:
-    """One row per insight that applies, numbered from 1."""
-    listed = F.when(F.col("total_records") == 0, F.array(F.lit(nothing))).otherwise(
-        F.array_compact(F.array(*insights))
+def statistics_and_worst(validated: DataFrame, items: Column, threshold: float | None = None) -> DataFrame:
+    """One row: the statistics, and ``worst``, the most frequent of the texts in ``items`` over
+    the invalid rows with its ``errors``. One pass: the items of a row are rows of their own,
+    of which the first counts for the record."""
+    rows = validated.select(
+        "_is_valid", "_quality_level", "_quality_score",
+        F.posexplode_outer(F.when(~F.col("_is_valid"), items)).alias("_at", "_item"),
+    )
+    counters = statistics_columns(threshold, F.coalesce("_at", F.lit(0)) == 0)
+    counted = rows.groupBy("_item").agg(F.count("_item").alias("_errors"), *counters)
+    names = [c for c in counted.columns if c not in ("_item", "_errors")]
+    first = F.min(F.when(F.col("_errors") > 0, F.struct((-F.col("_errors")).alias("n"), F.col("_item").alias("item"))))
+    total = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names], first.alias("first"))
+    return total.select(
+        *names, success_rate(F.col("valid_records"), F.col("total_records")).alias("success_rate"),
+        F.when(F.col("first").isNotNull(), F.struct(F.col("first.item").alias("item"), (-F.col("first.n")).alias("errors"))).alias("worst"),
     )
+
+
+def _listed(insights: list[Column], nothing: str) -> Column:
+    """The insights that apply."""
+    return F.when(F.col("total_records") == 0, F.array(F.lit(nothing))).otherwise(F.array_compact(F.array(*insights)))
+
+
+def _numbered(stats: DataFrame, listed: Column) -> DataFrame:
+    """One row per insight, numbered from 1."""
     return stats.select(F.posexplode(listed).alias("position", "insight")).select(
         (F.col("position") + 1).alias("position"), "insight"
     )
@@ -221,22 +235,24 @@ def _level_insight(many_poor: str) -> Column:
     )
 
 
-def validator_insights(validated: DataFrame, profile: TableProfile | None = None) -> DataFrame:
-    """What the validator says about the run.
+def _worst_field(validated: DataFrame) -> DataFrame:
+    return statistics_and_worst(validated, F.transform("_issues", lambda i: i["field"]))
 
-    The worst field comes from a grouped count that is reduced to one row first
-    and enters as a scalar subquery.
-    """
+
+def _validator_list(profile: TableProfile | None) -> Column:
+    """The validator's insights over a row of statistics and the worst field."""
     insights: list[Column] = []
     if profile is not None:
         kinds = Counter(p.detected_type for p in profile)
         insights.append(F.lit(FIELDS_DETECTED.format(len(profile), len(kinds))))
         insights += [F.lit(COMMON_TYPE.format(*top)) for top in kinds.most_common(1)]
-    worst = most_problematic_field(validated).select(
-        F.format_string(WORST_FIELD, "field", "errors").alias("text")
-    )
-    insights += [_band(VALIDATOR_BANDS), _level_insight(VALIDATOR_MANY_POOR), worst.scalar()]
-    return _numbered(run_statistics(validated), insights, VALIDATOR_NOTHING)
+    worst = F.when(F.col("worst").isNotNull(), F.format_string(WORST_FIELD, "worst.item", "worst.errors"))
+    return _listed([*insights, _band(VALIDATOR_BANDS), _level_insight(VALIDATOR_MANY_POOR), worst], VALIDATOR_NOTHING)
+
+
+def validator_insights(validated: DataFrame, profile: TableProfile | None = None) -> DataFrame:
+    """What the validator says about the run."""
+    return _numbered(_worst_field(validated), _validator_list(profile))
 
 
 def reporter_insights(validated: DataFrame, duration_seconds: float | None = None) -> DataFrame:
@@ -253,18 +269,13 @@ def reporter_insights(validated: DataFrame, duration_seconds: float | None = Non
                 speed < SLOW_RECORDS_PER_SECOND, LOW_THROUGHPUT
             )
         )
-    worst = error_patterns(validated, 1).select(
-        F.struct(
-            "errors",
-            F.format_string(COMMON_ERROR, "pattern").alias("common"),
-            F.format_string(CONCENTRATED, "pattern").alias("concentrated"),
-        ).alias("top")
-    ).scalar()
+    worst = F.col("worst")
     insights += [
-        worst["common"],
-        F.when(worst["errors"] / F.col("invalid_records") > 0.5, worst["concentrated"]),
+        F.when(worst.isNotNull(), F.format_string(COMMON_ERROR, worst["item"])),
+        F.when(worst["errors"] / F.col("invalid_records") > 0.5, F.format_string(CONCENTRATED, worst["item"])),
     ]
-    return _numbered(run_statistics(validated), insights, REPORTER_NOTHING)
+    patterns = F.transform("_errors", lambda e: F.when(e.contains(":"), F.split_part(e, F.lit(":"), F.lit(1))).otherwise("general"))
+    return _numbered(statistics_and_worst(validated, patterns), _listed(insights, REPORTER_NOTHING))
 
 
 # ------------------------------------------------------------------ reports
@@ -275,7 +286,10 @@ def validation_report(
     profile: TableProfile | None = None,
     duration_seconds: float | None = None,
 ) -> DataFrame:
-    """One row: summary, level counts, schema summary, first errors, insights."""
+    """One row: summary, level counts, schema summary, first errors, insights.
+
+    Two passes: one for all counts, one for the first errors.
+    """
     spark = validated.sparkSession
     errors = first_errors(validated)
     details = [c for c in errors.columns if c != "_record_id"]
@@ -288,16 +302,11 @@ def validation_report(
             lambda e: e["json"],
         ).alias("e")
     )
-    insights = validator_insights(validated, profile).agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("position", "insight"))), lambda i: i["insight"]
-        ).alias("i")
-    )
     schema = F.lit(None).cast("string")
     if profile is not None:
         summary = schema_summary(profile.to_frame(spark))
         schema = summary.select(F.to_json(F.struct(*summary.columns))).scalar()
-    return run_statistics(validated).select(
+    return _worst_field(validated).select(
         F.struct(
             "total_records", "valid_records", "invalid_records",
             percent_text(F.col("success_rate")).alias("success_rate"),
@@ -309,7 +318,7 @@ def validation_report(
         ),
         schema.alias("schema_summary"),
         listed.scalar().alias("validation_errors"),
-        insights.scalar().alias("data_quality_insights"),
+        _validator_list(profile).alias("data_quality_insights"),
     )
 
 

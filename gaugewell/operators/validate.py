@@ -187,37 +187,42 @@ def _has(marks: Column, bits: int) -> Column:
     return marks.bitwiseAND(F.lit(bits)) != 0
 
 
-def _score(marks: Column) -> Column:
-    value_score = reduce(
-        lambda a, b: a * b,
-        [F.when(_has(marks, bits), factor).otherwise(1.0) for bits, factor in FACTORS],
-    )
-    score = F.when(marks == 0, 1.0)
-    for bits, fixed in FIELD_SCORES:
-        score = score.when(_has(marks, bits), fixed)
-    return score.otherwise(value_score)
+# Scores and issues are written as SQL text: one call to the session per field, not one per branch.
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
 
+def _score(marks: str) -> Column:
+    """The score of the field whose marks are in the column named ``marks``."""
+    factors = " * ".join(f"CASE WHEN ({marks} & {bits}) <> 0 THEN {factor}D ELSE 1.0D END" for bits, factor in FACTORS)
+    fixed = " ".join(f"WHEN ({marks} & {bits}) <> 0 THEN {score}D" for bits, score in FIELD_SCORES)
+    return F.expr(f"CASE WHEN {marks} = 0 THEN 1.0D {fixed} ELSE {factors} END")
 
-def _field_issues(marks: Column, profile: FieldProfile) -> list[Column]:
-    """The issues of one field, null where they do not apply."""
+
+def _field_issues(marks: str, profile: FieldProfile) -> list[str]:
+    """The issues that a field can have, null where they do not apply."""
+    rules = profile.rules
     limits = ("min_length", "max_length", "min_value", "max_value")
-    facts = {name: profile.rules.get(name) for name in limits}
+    facts = {name: rules.get(name) for name in limits}
+    possible = ISSUE_MARKS & ~(MISSING | NULL if profile.nullable else 0)
+    if facts["min_length"] is None or facts["max_length"] is None:
+        possible &= ~(SHORT | LONG)
+    if facts["min_value"] is None:
+        possible &= ~(BELOW | ABOVE)
     return [
-        F.when(
-            _has(marks, bit),
-            F.struct(
-                F.lit(profile.field).alias("field"),
-                F.lit(issue).alias("issue"),
-                F.lit(text.format(type=profile.detected_type, **facts)).alias("description"),
-            ),
-        )
+        f"CASE WHEN ({marks} & {bit}) <> 0 THEN named_struct('field', {_literal(profile.field)}, 'issue', {_literal(issue)}, "
+        f"'description', {_literal(text.format(type=profile.detected_type, **facts))}) END"
         for bit, issue, text in ISSUES
+        if bit & possible
     ]
 
 
 def _field_warnings(marks: Column, view: FieldView | None, profile: FieldProfile) -> list[Column]:
-    name = profile.field
-    warnings = [F.when(_has(marks, NOT_GIVEN), F.lit(NOT_GIVEN_WARNING.format(name)))]
+    name, warnings = profile.field, []
+    if profile.nullable and (view is None or view.present is not None):
+        warnings.append(F.when(_has(marks, NOT_GIVEN), F.lit(NOT_GIVEN_WARNING.format(name))))
     if view is not None and profile.rules.get("categorical"):
         text = F.concat(F.lit(CATEGORY_WARNING.format(name)), view.text)
         warnings.append(F.when(_has(marks, CATEGORY), text))
@@ -264,9 +269,9 @@ def judge_records(
     names = [F.col(f"_marks_{i}") for i in range(len(fields))]
     any_mark = reduce(lambda a, b: a.bitwiseOR(b), names, F.lit(0))
 
-    scores = [_score(m) for m in names]
+    scores = [_score(f"_marks_{i}") for i in range(len(fields))]
     score = _sum(scores) / len(scores) if scores else F.lit(0.0)
-    issues = [c for m, p in zip(names, fields) for c in _field_issues(m, p)]
+    issues = [c for i, p in enumerate(fields) for c in _field_issues(f"_marks_{i}", p)]
     warnings = [c for m, p in zip(names, fields) for c in _field_warnings(m, views.get(p.field), p)]
     no_texts = F.array().cast(NO_TEXTS)
     if isinstance(unexpected, Column):
@@ -297,7 +302,7 @@ def judge_records(
             if fields
             else F.create_map().cast("map<string,double>")
         ).alias("_field_scores"),
-        F.when(has_issue, F.array_compact(F.array(*issues)))
+        F.when(has_issue, F.expr(f"array_compact(array({', '.join(issues)}))").cast(NO_ISSUES))
         .otherwise(F.array().cast(NO_ISSUES)).alias("_issues")
         if fields
         else F.array().cast(NO_ISSUES).alias("_issues"),
@@ -306,7 +311,7 @@ def judge_records(
                 F.when(any_mark != 0, F.array_compact(F.array(*warnings))).otherwise(no_texts),
                 strangers,
             )
-            if fields
+            if warnings
             else strangers
         ).alias("_warnings"),
         source_file.alias("_source_file"),
