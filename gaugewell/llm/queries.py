@@ -48,6 +48,9 @@ def op2_substring_dedup(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+ORACLES["op2_substring_dedup"] = sql.substring_dedup()
+
+
 @query
 def op3_benchmark_decontamination(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -83,6 +86,9 @@ def op9_warc(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+ORACLES["op9_warc"] = sql.warc()
+
+
 def _edit(start, length, text):
     return F.struct(F.floor(start).alias("start"), F.floor(start + length).alias("end"), text.alias("text"))
 

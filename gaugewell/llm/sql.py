@@ -37,3 +37,30 @@ def secret_scans() -> str:
         findings AS (SELECT doc_id, list_sort(list_concat({", ".join(placed)})) AS found FROM matches)
         SELECT doc_id, {counts}, sha256({joined.format(base)}) AS base_sha256, {joined.format("found")} AS spans
         FROM findings"""
+
+
+def substring_dedup(window: int = 35) -> str:
+    """Every window as text, counted over the table; words inside a repeated one go."""
+    return rf"""
+        WITH texts AS (SELECT row_number() OVER () AS r, doc_id,
+            list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM texts),
+        windows AS (SELECT r, p, md5(string_agg(word, ' ') OVER ahead) AS key, count(*) OVER ahead AS size FROM words
+            WINDOW ahead AS (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND {window - 1} FOLLOWING)),
+        repeated AS (SELECT r, p, count(*) OVER (PARTITION BY key) > 1 AS again FROM windows WHERE size = {window}),
+        marked AS (SELECT words.r, words.p, word, coalesce(bool_or(again) OVER (PARTITION BY words.r ORDER BY words.p
+            ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW), false) AS gone
+            FROM words LEFT JOIN repeated ON words.r = repeated.r AND words.p = repeated.p),
+        kept AS (SELECT r, count(*) AS n, count(*) FILTER (gone) AS g, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS k
+            FROM marked GROUP BY r)
+        SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(g, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+        FROM texts LEFT JOIN kept ON texts.r = kept.r"""
+
+
+def warc(least: int = 1000) -> str:
+    return f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        r AS (SELECT *, CASE WHEN strlen(html) >= {least} THEN max(page_id) OVER (PARTITION BY html) END AS responds FROM p)
+        SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest,
+            CASE WHEN responds <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN responds <> page_id THEN responds END AS refers_to FROM r"""
