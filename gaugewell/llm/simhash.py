@@ -29,7 +29,7 @@ SHINGLE_WORDS = 4
 RADIUS = 4
 SEED = 42
 TILE = 1 << 15
-_AT_ONCE = 1 << 20
+_AT_ONCE = 1 << 17
 
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE_WORDS) -> np.ndarray:
@@ -80,12 +80,15 @@ def links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray,
     nodes = a if b is None else np.concatenate([a, b])
     other, shift = (a, 0) if b is None else (b, len(a))
     root = np.arange(len(nodes))
-    step = max(1, _AT_ONCE // max(1, len(other)))
+    step = max(1, min(len(a), _AT_ONCE // max(1, len(other))))
+    differ, bits = np.empty((step, len(other)), np.uint64), np.empty((step, len(other)), np.uint8)
     for at in range(0, len(a), step):
-        near = np.bitwise_count(a[at:at + step, None] ^ other[None, :]) <= radius
-        i, j = np.nonzero(near)
-        if not len(i):
+        rows = a[at:at + step, None]
+        # into the same arrays again and again, which stay in the cache
+        count = np.bitwise_count(np.bitwise_xor(rows, other[None, :], out=differ[:len(rows)]), out=bits[:len(rows)])
+        if not count.size or count.min() > radius:
             continue
+        i, j = np.nonzero(count <= radius)
         x, y = root[i + at], root[j + shift]
         while True:
             apart = x != y
