@@ -82,24 +82,36 @@ def _variant_path(name: str) -> str:
     return f"$[{quote}{name}{quote}]"
 
 
-def payload_view(payload: Column, name: str) -> FieldView:
-    """A field of a payload: absent, null and typed values are told apart."""
-    path = _variant_path(name)
-    node = F.try_variant_get(payload, path, "variant")
-    kind = F.schema_of_variant(node)
-    plain = F.try_variant_get(payload, path, "string")
-    number = F.try_variant_get(payload, path, "double")
+def _field_columns(i: int) -> tuple[list[Column], list[Column]]:
+    """What is read of the field in ``_node_i``: its kind, text and number, then how it is judged.
+
+    Two steps of a projection each: what the second uses several times is computed once.
+    """
+    node = F.col(f"_node_{i}")
+    kind, plain, number = F.col(f"_kind_{i}"), F.col(f"_plain_{i}"), F.col(f"_double_{i}")
+    read = [
+        F.schema_of_variant(node).alias(f"_kind_{i}"),
+        F.try_variant_get(node, "$", "string").alias(f"_plain_{i}"),
+        F.try_variant_get(node, "$", "double").alias(f"_double_{i}"),
+        node.isNotNull().alias(f"_present_{i}"),
+        F.is_variant_null(node).alias(f"_null_{i}"),
+    ]
     text = (
         F.when(kind == "BOOLEAN", F.initcap(plain))
         .when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), double_text(number))
         .otherwise(plain)
     )
-    empty = F.is_variant_null(node) | (plain == "")
     whole = F.when(kind == "STRING", is_integer(plain)).otherwise(
         kind.isin("BIGINT", "BOOLEAN", "DOUBLE") | kind.startswith("DECIMAL")
     )
-    value = F.when(kind == "STRING", to_number(plain)).otherwise(number)
-    return FieldView(text, empty, whole, present=node.isNotNull(), number=value)
+    judged = [
+        text.alias(f"_text_{i}"),
+        (F.col(f"_null_{i}") | (plain == "")).alias(f"_empty_{i}"),
+        whole.alias(f"_whole_{i}"),
+        F.col(f"_present_{i}"),
+        F.when(kind == "STRING", to_number(plain)).otherwise(number).alias(f"_number_{i}"),
+    ]
+    return read, judged
 
 
 def validate_payloads(
@@ -113,20 +125,19 @@ def validate_payloads(
     parsed = well_formed(messages).select(
         F.try_parse_json("value").alias("_payload"), F.json_object_keys("value").alias("_keys")
     )
-    views = {name: payload_view(F.col("_payload"), name) for name in profile.fields}
-    # read every field of the variant once
-    columns, staged = [], {}
-    for i, (name, view) in enumerate(views.items()):
-        columns += [
-            view.text.alias(f"_text_{i}"), view.absent.alias(f"_empty_{i}"),
-            view.whole.alias(f"_whole_{i}"), view.present.alias(f"_present_{i}"),
-            view.number.alias(f"_number_{i}"),
-        ]
-        staged[name] = FieldView(
-            F.col(f"_text_{i}"), F.col(f"_empty_{i}"), F.col(f"_whole_{i}"),
-            F.col(f"_present_{i}"), F.col(f"_number_{i}"),
-        )
-    rows = parsed.select("_keys", *columns)
+    names = list(profile.fields)
+    nodes = [F.try_variant_get("_payload", _variant_path(n), "variant").alias(f"_node_{i}") for i, n in enumerate(names)]
+    read, judging = zip(*(_field_columns(i) for i in range(len(names)))) if names else ((), ())
+    rows = (
+        parsed.select("_keys", *nodes)
+        .select("_keys", *(c for columns in read for c in columns))
+        .select("_keys", *(c for columns in judging for c in columns))
+    )
+    staged = {
+        name: FieldView(
+            F.col(f"_text_{i}"), F.col(f"_empty_{i}"), F.col(f"_whole_{i}"), F.col(f"_present_{i}"), F.col(f"_number_{i}"))
+        for i, name in enumerate(names)
+    }
     unexpected = F.array_except("_keys", F.array(*[F.lit(n) for n in profile.fields]))
     judged = judge_records(rows, staged, profile, unexpected, source_file=source_file)
     kept = [c for c in judged.columns if c not in rows.columns]
