@@ -4,7 +4,6 @@ import glob
 import json
 
 import pytest
-from conftest import orders as order_rows
 from pyspark.sql import functions as F
 
 from gaugewell.operators.clean import to_records
@@ -17,6 +16,7 @@ from gaugewell.plans.flows import topic_to_analysis, validate_file
 from gaugewell.session import scratch_path
 from gaugewell.sources.files import load, read_csv
 from gaugewell.sources.topics import FileTopic
+from small_inputs import orders as order_rows
 
 
 @pytest.fixture(scope="module")
