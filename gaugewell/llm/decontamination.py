@@ -6,10 +6,11 @@ together most of the time, so their embeddings agree in most places. Windows of
 an item and the items are embedded, some places of the embedding are sampled as a key, and
 equal keys make a candidate; this is repeated with other walks and places until the target
 recall at the allowed distance is reached, which is measured on edited copies of the items.
-Each candidate is verified by its exact edit distance over words.
+Each candidate is verified by its exact edit distance over words to the best passage of any length
+in the window and as many words on both sides as edits are allowed.
 
 Only windows that share enough word pairs with the items are embedded: e edits leave at least
-n - 1 - 2e of the n - 1 pairs, so the bound leaves none out.
+n - 1 - 2e of the n - 1 pairs in a window over the passage or inside it, so the bound leaves none out.
 
 Words are compared in lower case (A-Z) without marks at their ends. Items are a stated query set:
 they are handled in blocks of bounded size, each against all documents.
@@ -38,6 +39,8 @@ BLOCK_BYTES = 8 << 20
 _FILTER_BITS = 18
 #: Words of windows that a task holds before it looks at them.
 _HELD_WORDS = 2 << 20
+#: Candidates whose distance is computed at once.
+_PAIRS = 1 << 14
 _ROW = np.uint64(0xA0761D6478BD642F)
 
 #: In a word, digits count as well as letters.
@@ -80,9 +83,10 @@ class Walks:
         return key
 
 
-def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact edit distance of each row of ``a`` to the same row of ``b``."""
-    row = np.broadcast_to(np.arange(b.shape[1] + 1), (len(a), b.shape[1] + 1)).copy()
+def edit_distances(a: np.ndarray, b: np.ndarray, free_ends: bool = False) -> np.ndarray:
+    """Exact edit distance of each row of ``a`` to the same row of ``b``, or to its nearest passage with ``free_ends``."""
+    first = np.zeros(b.shape[1] + 1, np.int64) if free_ends else np.arange(b.shape[1] + 1)
+    row = np.broadcast_to(first, (len(a), b.shape[1] + 1)).copy()
     slope = np.arange(b.shape[1] + 1)
     for i in range(a.shape[1]):
         best = np.empty_like(row)
@@ -90,7 +94,14 @@ def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         np.minimum(row[:, 1:] + 1, row[:, :-1] + (a[:, i, None] != b), out=best[:, 1:])
         # what insertions add along the row: the least of best[j] + (k - j)
         row = np.minimum.accumulate(best - slope, axis=1) + slope
-    return row[:, -1]
+    return row.min(axis=1) if free_ends else row[:, -1]
+
+
+def _passage_distances(items: np.ndarray, texts: np.ndarray, item: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Edit distance of each chosen item to the nearest passage of the text chosen beside it."""
+    parts = [edit_distances(items[item[low:low + _PAIRS]], texts[text[low:low + _PAIRS]], free_ends=True)
+             for low in range(0, len(item), _PAIRS)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 class Items:
@@ -122,17 +133,18 @@ class Items:
         return int(self.share * size)
 
     def _repeats(self, size: int, rows: np.ndarray, recall: float, seed: int) -> int:
-        """Repeats after which a window at the allowed distance is found with the wanted chance.
+        """Repeats after which a passage at the allowed distance is found with the wanted chance.
 
-        Measured on copies with as many edits as are allowed, of each kind at random.
+        Measured on copies with as many edits as are allowed, half of them of each kind at random and half
+        deletions only, which agree least, filled up with other words or cut off to the size of a window.
         """
         draw = np.random.default_rng([seed, size, 1])
-        rows = rows[draw.integers(0, len(rows), 64)]
+        rows = rows[draw.integers(0, len(rows), 128)]
         edited = rows.copy()
         for r in range(len(edited)):
             words = edited[r].tolist()
             for _ in range(self.allowed(size)):
-                at, kind = int(draw.integers(0, len(words))), int(draw.integers(0, 3))
+                at, kind = int(draw.integers(0, len(words))), int(draw.integers(0, 3)) if r % 2 else 2
                 if kind == 0:
                     words[at] = int(draw.integers(1, 1 << 62))
                 elif kind == 1:
@@ -143,8 +155,7 @@ class Items:
             edited[r] = words[:size]
         test = Walks(size, 64, seed + 1)
         same = (test.keys(rows) == test.keys(edited)).mean(axis=0)
-        same = same[edit_distances(rows, edited) <= self.allowed(size)]
-        chance = min(max(float(np.quantile(same, 0.05)) if len(same) else 1.0, 0.05), 0.99)
+        chance = min(max(float(np.quantile(same, 0.05)), 0.03), 0.99)
         return max(4, int(np.ceil(np.log(1 - recall) / np.log(1 - chance))))
 
     def matches(self, batch: pa.RecordBatch, text: str = "text") -> list[set[int]]:
@@ -167,7 +178,7 @@ class Items:
                 windows[size] = []
 
     def _windows(self, data, offsets, first, found, windows) -> None:
-        """The windows that share enough word pairs with the items of their size."""
+        """The windows that share enough word pairs with the items of their size, each between the words around it."""
         names, bounds = names_of(data, offsets)
         if not len(names):
             return
@@ -189,18 +200,28 @@ class Items:
                 inside = starts + size <= bounds[owner + 1]
                 starts, owner = starts[inside], owner[inside]
                 if len(starts):
-                    windows[size].append((names[starts[:, None] + np.arange(size)], owner + first))
+                    around = starts[:, None] + np.arange(-allowed, size + allowed)
+                    own = (around >= bounds[owner][:, None]) & (around < bounds[owner + 1][:, None])
+                    # 0 stands for all that lies outside the document
+                    around = np.where(own, names[np.clip(around, 0, len(names) - 1)], np.uint64(0))
+                    windows[size].append((around, owner + first))
             # a document shorter than the item stands for its window
             for document in np.flatnonzero((lengths < size) & (lengths >= max(1, size - allowed))).tolist():
                 low, high = bounds[document], bounds[document + 1]
                 if known[high - 1] - known[low] >= (high - low) - 1 - 2 * allowed:
                     whole = np.broadcast_to(names[low:high], (len(rows), high - low))
-                    near = edit_distances(rows, whole) <= allowed
+                    near = edit_distances(rows, whole, free_ends=True) <= allowed
                     found[first + document].update(which[near].tolist())
 
     def _look(self, size, which, rows, parts, found) -> None:
-        """Candidates by equal keys, then the exact distance; equal windows are looked at once."""
-        windows, owner = (np.concatenate(p) for p in zip(*parts))
+        """Candidates by equal keys, then the exact distance; equal windows are looked at once.
+
+        A passage sticks out of its window by as many words as edits are allowed at most, so a window
+        within twice that distance is decided with the words around it, where they differ.
+        """
+        around, owner = (np.concatenate(p) for p in zip(*parts))
+        allowed = self.allowed(size)
+        windows = around[:, allowed:allowed + size]
         _, at, back = np.unique(mix(windows * powers(int(_ROW), size)).sum(axis=1), return_index=True, return_inverse=True)
         windows = windows[at]
         item_keys, items = self.keys[size]
@@ -214,13 +235,28 @@ class Items:
             pairs.append(np.unique(window * len(rows) + item))
         pairs = np.concatenate(pairs)
         window, item = pairs // len(rows), pairs % len(rows)
-        near = edit_distances(rows[item], windows[window]) <= self.allowed(size)
+        distance = _passage_distances(rows, windows, item, window)
+        near = distance <= allowed
         matched: dict[int, list[int]] = {}
         for w, i in zip(window[near].tolist(), which[item[near]].tolist()):
             matched.setdefault(w, []).append(i)
         for document, w in zip(owner.tolist(), back.tolist()):
             if w in matched:
                 found[document].update(matched[w])
+        open_ = (distance > allowed) & (distance <= 2 * allowed)
+        window, item = window[open_], item[open_]
+        # each place of such a window
+        places, count = np.argsort(back, kind="stable"), np.bincount(back, minlength=len(windows))
+        begin, count = (np.cumsum(count) - count)[window], count[window]
+        place = places[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)]
+        item = np.repeat(item, count)
+        left_open = np.array([i not in found[d] for d, i in zip(owner[place].tolist(), which[item].tolist())], bool)
+        place, item = place[left_open], item[left_open]
+        name = mix(around[place] * powers(int(_ROW), around.shape[1])).sum(axis=1)
+        _, at, back = np.unique(mix(name) + item.astype(np.uint64), return_index=True, return_inverse=True)
+        near = (_passage_distances(rows, around, item[at], place[at]) <= allowed)[back]
+        for document, i in zip(owner[place[near]].tolist(), which[item[near]].tolist()):
+            found[document].add(i)
 
 
 def _match(items: Items):

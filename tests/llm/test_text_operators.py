@@ -195,6 +195,43 @@ def test_contamination_is_found_up_to_edits(llm, documents, edge_cases, no_docum
     assert decontamination.drop_contaminated(edge_cases, none).count() == 12
 
 
+def passage_distance(item, words):
+    """Edits from the item to the nearest run of the words, of any length."""
+    row = [0] * (len(words) + 1)
+    for number, own in enumerate(item, 1):
+        now = [number]
+        for at, word in enumerate(words, 1):
+            now.append(min(row[at] + 1, now[-1] + 1, row[at - 1] + (own != word)))
+        row = now
+    return min(row)
+
+
+@pytest.mark.parametrize("block_bytes", [600, 8 << 20])
+def test_passages_that_gained_or_lost_words_are_found(llm, documents, block_bytes):
+    draw = random.Random(12)
+    items = [[f"w{draw.randrange(900)}" for _ in range(n)] for n in (5, 8, 10, 15, 20, 20, 30, 45)]
+    texts = []
+    for number in range(240):
+        item = draw.choice(items)
+        edited, kinds = list(item), ("insert", "delete", "either")[number % 3]
+        for _ in range(len(item) // 5 + (number % 4 == 0)):
+            if kinds == "insert" or kinds == "either" and draw.random() < 0.5:
+                edited.insert(draw.randrange(len(edited) + 1), f"x{draw.randrange(900)}")
+            else:
+                edited.pop(draw.randrange(len(edited)))
+        before, behind = ([f"y{draw.randrange(900)}" for _ in range(draw.choice([0, 1, 3, 60]))] for _ in range(2))
+        texts.append([*before, *edited, *behind])
+    benchmark = llm.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    docs = documents([(i, " ".join(t)) for i, t in enumerate(texts)])
+    rows = decontamination.contamination(docs, benchmark, block_bytes=block_bytes).collect()
+    expected = [{i for i, item in enumerate(items) if passage_distance(item, t) <= len(item) // 5} for t in texts]
+    assert len(rows) == len(texts) and sum(map(len, expected)) > 150
+    assert not any(set(r.item_ids) - expected[r.doc_id] for r in rows)
+    assert sum(len(expected[r.doc_id] - set(r.item_ids)) for r in rows) <= 1
+    kept = decontamination.drop_contaminated(docs, benchmark, block_bytes=block_bytes).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(r.doc_id for r in rows if not r.contaminated)
+
+
 def test_fingerprints_follow_the_content(documents, edge_cases, no_documents):
     draw = random.Random(6)
     texts = [" ".join(f"w{draw.randrange(5000)}ü" for _ in range(draw.randint(0, 400))) for _ in range(80)] + [None, "", "a", "ab" * 500]
