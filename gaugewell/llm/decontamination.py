@@ -16,7 +16,8 @@ Words are compared in lower case (A-Z) without marks at their ends. Items are a
 they are handled in blocks of bounded size, each against all documents.
 
 Cases: null and empty texts and items match nothing; an item longer than the document is
-compared with the whole document; repeated items each count; a document matches each item once.
+compared with the whole document; repeated items each count; a document matches each item once; an
+item of null id counts like any other and stands in item_ids as null, before the others.
 """
 
 from __future__ import annotations
@@ -259,11 +260,18 @@ class Items:
             found[document].add(i)
 
 
-def _match(items: Items):
+_ITEM = pa.struct([("id", pa.int64()), ("number", pa.int64())])
+
+
+def _match(items: Items, first: int):
+    """The items of each document by id and number in the benchmark; ``first`` is the number of the block's first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def order(i):
+            return items.ids[i] is not None, items.ids[i] or 0, i
+
         for batch in batches:
-            lists = [sorted(items.ids[i] for i in f) for f in items.matches(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], ["id", "item_ids"])
+            lists = [[(items.ids[i], first + i) for i in sorted(f, key=order)] for f in items.matches(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(_ITEM))], ["id", "items"])
     return run
 
 
@@ -271,7 +279,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> It
     """The items in blocks of at most ``most`` bytes, one block at a time on the driver."""
     rows = benchmark.select(F.col(item_col).cast("long").alias("id"), text_or_empty(F.col(text_col)).alias("text"))
     ids, texts, size = [], [], 0
-    for row in rows.dropna(subset=["id"]).toLocalIterator():
+    for row in rows.toLocalIterator():
         ids.append(row["id"])
         texts.append(row["text"])
         size += len(row["text"].encode())
@@ -287,14 +295,16 @@ def contamination(
     block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
-    """Per document: id, contaminated, n_items, item_ids (sorted) of the items it holds."""
+    """Per document: id, contaminated, n_items, item_ids (sorted, null first) of the items it holds."""
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(F.col(text_col)).alias("text"))
-    schema = f"id {kind}, item_ids array<long>"
-    parts = [texts.mapInArrow(_match(Items(ids, items, edit_share, recall, seed)), schema)
-             for ids, items in _blocks(benchmark, item_col, item_text_col, block_bytes)]
+    schema = f"id {kind}, items array<struct<id: long, number: long>>"
+    parts, first = [], 0
+    for ids, items in _blocks(benchmark, item_col, item_text_col, block_bytes):
+        parts.append(texts.mapInArrow(_match(Items(ids, items, edit_share, recall, seed), first), schema))
+        first += len(ids)
     if not parts:
-        found = texts.select("id", F.array().cast("array<long>").alias("item_ids"))
+        found = texts.select("id", F.array().cast("array<struct<id: long, number: long>>").alias("items"))
     elif len(parts) == 1:
         found = parts[0]
     else:
@@ -303,12 +313,12 @@ def contamination(
             found = found.unionByName(part.withColumn("part", F.lit(number)))
         # repeated rows: each block returns as many rows of an id, so their number is kept
         found = found.groupBy("id").agg(
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
             F.sum((F.col("part") == 0).cast("int")).alias("copies"),
         ).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return found.select(
-        F.col("id").alias(id_col), (F.size("item_ids") > 0).alias("contaminated"),
-        F.size("item_ids").cast("long").alias("n_items"), "item_ids")
+        F.col("id").alias(id_col), (F.size("items") > 0).alias("contaminated"),
+        F.size("items").cast("long").alias("n_items"), F.col("items.id").alias("item_ids"))
 
 
 def drop_contaminated(

@@ -232,6 +232,22 @@ def test_passages_that_gained_or_lost_words_are_found(llm, documents, block_byte
     assert sorted(r.doc_id for r in kept) == sorted(r.doc_id for r in rows if not r.contaminated)
 
 
+@pytest.mark.parametrize("block_bytes", [1, 8 << 20])
+def test_items_without_id_are_searched(llm, documents, edge_cases, no_documents, block_bytes):
+    items = [(None, "one two three four five"), (7, "six seven eight"), (None, "nine ten eleven"), (7, "nine ten eleven"), (3, None)]
+    benchmark = llm.createDataFrame(items, "item_id long, text string")
+    texts = [(1, "so one two three four five"), (2, "six seven eight nine ten eleven"), (3, "six seven"), (4, None)]
+    rows = decontamination.contamination(documents(texts), benchmark, block_bytes=block_bytes).collect()
+    assert {r.doc_id: (r.contaminated, r.n_items, r.item_ids) for r in rows} == {
+        1: (True, 1, [None]), 2: (True, 3, [None, 7, 7]), 3: (False, 0, []), 4: (False, 0, [])}
+    kept = decontamination.drop_contaminated(documents(texts), benchmark, block_bytes=block_bytes).collect()
+    assert sorted(r.doc_id for r in kept) == [3, 4]
+    assert decontamination.contamination(edge_cases, benchmark, block_bytes=block_bytes).where("not contaminated").count() == 12
+    assert decontamination.contamination(no_documents, benchmark, block_bytes=block_bytes).count() == 0
+    assert decontamination.contamination(edge_cases, benchmark.limit(0)).where("n_items = 0").count() == 12
+    assert decontamination.drop_contaminated(edge_cases, benchmark.limit(0)).count() == 12
+
+
 def test_fingerprints_follow_the_content(documents, edge_cases, no_documents):
     draw = random.Random(6)
     texts = [" ".join(f"w{draw.randrange(5000)}ü" for _ in range(draw.randint(0, 400))) for _ in range(80)] + [None, "", "a", "ab" * 500]
