@@ -43,6 +43,7 @@ _HELD_WORDS = 2 << 20
 #: Candidates whose distance is computed at once.
 _PAIRS = 1 << 14
 _ROW = np.uint64(0xA0761D6478BD642F)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 #: In a word, digits count as well as letters.
 _SEPARATORS = NO_LETTER.copy()
@@ -68,27 +69,35 @@ class Walks:
         self.salts = draw.integers(1, 1 << 63, repeats).astype(np.uint64)[:, None]
         places = draw.integers(0, 3 * size, (repeats, SAMPLED_PLACES))
         self.sampled = [np.flatnonzero((places == step).any(axis=1)) for step in range(int(places.max()) + 1)]
+        #: One number per step and repeat, which with the word decides whether the walk moves on.
+        self.turns = draw.integers(0, 1 << 63, (len(self.sampled), repeats, 1)).astype(np.uint64)
 
     def keys(self, rows: np.ndarray) -> np.ndarray:
         """Keys of ``rows`` (word names, one window or item a row), one line per repeat."""
         count, size = rows.shape
-        at = np.zeros((self.repeats, count), np.int64)
         key = np.broadcast_to(self.salts, (self.repeats, count)).copy()
         # one more column stands for all that lies behind the end
         flat, base = np.append(rows, np.zeros((count, 1), np.uint64), axis=1).ravel(), np.arange(count) * (size + 1)
+        at = np.broadcast_to(base, (self.repeats, count)).copy()
         for step, sampled in enumerate(self.sampled):
-            here = flat[base + np.minimum(at, size)]
+            if step > size:
+                np.minimum(at, base + size, out=at)
+            here = flat[at]
             if len(sampled):
                 key[sampled] = mix(key[sampled] * np.uint64(31) + here[sampled])
-            at += (mix(here + self.salts + np.uint64(step)) >> np.uint64(40) & np.uint64(1)).astype(np.int64)
+            here ^= self.turns[step]
+            here *= _STEP
+            here >>= np.uint64(63)
+            at += here.view(np.int64)
         return key
 
 
 def edit_distances(a: np.ndarray, b: np.ndarray, free_ends: bool = False) -> np.ndarray:
     """Exact edit distance of each row of ``a`` to the same row of ``b``, or to its nearest passage with ``free_ends``."""
-    first = np.zeros(b.shape[1] + 1, np.int64) if free_ends else np.arange(b.shape[1] + 1)
+    kind = np.int16 if a.shape[1] + b.shape[1] < 1 << 14 else np.int64
+    slope = np.arange(b.shape[1] + 1, dtype=kind)
+    first = np.zeros_like(slope) if free_ends else slope
     row = np.broadcast_to(first, (len(a), b.shape[1] + 1)).copy()
-    slope = np.arange(b.shape[1] + 1)
     for i in range(a.shape[1]):
         best = np.empty_like(row)
         best[:, 0] = i + 1
