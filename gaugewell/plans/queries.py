@@ -1013,9 +1013,10 @@ FROM customer WHERE c_custkey % 10 = 3""")
         path = scratch_path(spark, "customers") + f".{extension}"
         key = F.col("c_custkey").cast("string")
         surplus = F.when(F.col("c_custkey") % 10 == 3, F.expr(f"repeat('{sep}', 1 + cast(c_custkey % 3 as int))")).otherwise("")
-        lines = read(spark, sf_dir, "customer").select(F.concat(key, F.lit(sep), "c_name", surplus))
-        # a file is a header and the lines of some customers
-        files = lines.toDF("line").withColumn("n", F.floor(F.xxhash64("line") % 8)).groupBy("n").agg(F.array_join(F.collect_list("line"), "\n").alias("lines"))
+        line = F.concat(key, F.lit(sep), "c_name", surplus)
+        # a file is a header and the lines of up to 1000 customers
+        files = read(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / 1000).alias("n")).agg(
+            F.array_join(F.collect_list(line), "\n").alias("lines"))
         files.select(F.concat(F.lit(f"key{sep}name\n"), "lines")).write.option("maxRecordsPerFile", 1).text(path)
         try:
             S.read_delimited(spark, path, sep=sep)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugewell.operators.clean import to_records
+from gaugewell.plans.queries import QUERIES
 from gaugewell.sources.files import (
     detect_encoding,
     get_supported_formats,
@@ -175,3 +176,10 @@ def test_xml_rows_behind_comments(spark, tmp_path):
     comment = "<!-- <note> not a row\n" + "line\n" * 60 + "-->"
     path = write(tmp_path / "c.xml", f"<?xml version='1.0'?>{comment}<rows><row><a>1</a></row><row><a>2</a></row></rows>")
     assert sorted(r.a for r in load(spark, path).collect()) == [1, 2]
+
+
+@pytest.mark.parametrize("name", ["csv_long_rows", "tsv_long_rows"])
+def test_files_of_long_rows_grow_in_number(spark, name):
+    files = QUERIES[name](spark, "/root/testdata/sf0.1").inputFiles()
+    sizes = [r["count"] for r in spark.read.text(files).groupBy("_metadata.file_path").count().collect()]
+    assert sum(sizes) == len(sizes) + 15_000 and max(sizes) <= 1001
