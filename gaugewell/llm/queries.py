@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from gaugewell.llm import secrets, sql
 from gaugewell.llm.decontamination import contamination
+from gaugewell.llm.embeddings import near_vectors
 from gaugewell.llm.mixing import mix_sources
 from gaugewell.llm.phrases import edited_likeness
+from gaugewell.llm.prefixes import prefix_trie
 from gaugewell.llm.quality import quality_scores
 from gaugewell.llm.recompression import remove_repeats
 from gaugewell.llm.shipping import ship
 from gaugewell.llm.simhash import near_duplicates
+from gaugewell.llm.spelling import spelling_variants
 from gaugewell.llm.texts import table
 from gaugewell.llm.tokens import token_counts
 from gaugewell.llm.toxicity import toxicity
@@ -100,3 +103,27 @@ def op10_token_counts(spark, sf_dir):
     edits = F.array(_edit(size / 3, 12, F.concat(F.lit(" "), F.coalesce("source", F.lit("")), F.lit("'s note"))),
                     _edit(size * 2 / 3, 5, F.lit("")))
     return token_counts(table(spark, sf_dir, "documents"), edits)
+
+
+@query
+def op11_embedding_near_dedup(spark, sf_dir):
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op11_embedding_near_dedup"] = sql.near_vectors()
+
+
+@query
+def op12_conversation_prefix_trie(spark, sf_dir):
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op12_conversation_prefix_trie"] = sql.prefix_trie()
+
+
+@query
+def op13_spelling_variant_grouping(spark, sf_dir):
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_spelling_variant_grouping"] = sql.spelling_variants()
