@@ -4,9 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Folders of single-machine contexts that name none, and contexts whose workers have the package.
+_own_roots: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+_shipped: weakref.WeakSet = weakref.WeakSet()
+
 # Runtime settings the operators rely on; everything else is the cluster's.
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -44,20 +51,40 @@ def local_session(cores: str = "*", app: str = "gaugewell") -> SparkSession:
     return spark
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder the cluster shares for checkpoints.
+def scratch_root(spark: SparkSession) -> str:
+    """The folder that the cluster shares for checkpoints.
 
-    Where ``spark.checkpoint.dir`` is unset, a single-machine session gets a temporary folder,
-    kept in the session for later calls. A cluster must name one: its machines would each
+    Where ``spark.checkpoint.dir`` is unset, a single-machine session gets a temporary folder, the
+    same as long as its context lives. A cluster must name one: its machines would each
     write to a folder of their own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
-        root = tempfile.mkdtemp(prefix="gaugewell-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    if root:
+        return root.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+    if context not in _own_roots:
+        _own_roots[context] = tempfile.mkdtemp(prefix="gaugewell-")
+    return _own_roots[context]
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the package's modules to the Python workers of a cluster that does not have it installed, once for each context."""
+    context, root = spark.sparkContext, Path(__file__).parent
+    if context not in _shipped and root.is_dir():
+        archive = Path(tempfile.mkdtemp(prefix="gaugewell-code-")) / "gaugewell_code.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for module in sorted(root.rglob("*.py")):
+                out.write(module, module.relative_to(root.parent))
+        context.addPyFile(str(archive))
+        _shipped.add(context)
+    return spark
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

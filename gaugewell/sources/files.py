@@ -11,7 +11,9 @@ from pyspark.sql import types as T
 
 from gaugewell.functions.detectors import PLAIN_NUMBER_TEXT
 from gaugewell.functions.text import CSV_NULL_TOKENS, null_if_token
+from gaugewell.functions.json_types import json_rows, json_schema, json_type
 from gaugewell.operators.clean import flatten
+from gaugewell.sources.ranges import WIDE, Quoting, header_names, json_elements, quoted_records
 
 SEPARATORS = [",", ";", "\t", "|"]
 
@@ -23,59 +25,94 @@ def _quoted(name: str) -> str:
 # ------------------------------------------------------------------ encoding
 
 
-def detect_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 if every line is, else UTF-16 if a file starts with its mark, else ISO-8859-1.
-
-    One aggregate over the lines; pass ``encoding`` to the readers to save it.
-    """
+def _survey(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """The encoding, and whether a line may end inside quotes: one that does has an odd number of them."""
     lines = spark.read.text(path)
-    head = F.substring(F.to_binary(F.hex("value"), F.lit("hex")), 1, 2)
-    marked = (F.col("_metadata.file_block_start") == 0) & head.isin(
-        [F.unhex(F.lit("FFFE")), F.unhex(F.lit("FEFF"))]
-    )
+    head = F.hex(F.substring(F.to_binary(F.hex("value"), F.lit("hex")), 1, 2))
+    first = F.col("_metadata.file_block_start") == 0
+    marks = {e: F.count_if(first & (head == mark.hex().upper())).alias(e) for e, mark in WIDE.items()}
     row = lines.agg(
-        F.count_if(~F.is_valid_utf8("value")).alias("broken"), F.count_if(marked).alias("marked")
+        F.count_if(~F.is_valid_utf8("value")).alias("broken"), *marks.values(),
+        F.count_if((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1).alias("odd"),
     ).first()
-    if not row["broken"]:
-        return "UTF-8"
-    return "UTF-16" if row["marked"] else "ISO-8859-1"
+    wide = [e for e in WIDE if row[e]] if row["broken"] else []
+    return wide[0] if wide else "ISO-8859-1" if row["broken"] else "UTF-8", row["odd"] > 0
 
 
-# ------------------------------------------------------------------ delimited text
-
+def detect_encoding(spark: SparkSession, path: str) -> str:
+    """UTF-8 if every line is, else UTF-16 if a file starts with its mark, else ISO-8859-1.
 
-def _csv_reader(spark: SparkSession, sep: str, encoding: str, multiline: bool, options: dict):
-    reader = (
-        spark.read.option("header", True)
-        .option("sep", sep)
-        .option("encoding", encoding)
-        .option("quote", '"')
-        .option("escape", '"')
-        # line splitting of UTF-16 needs the whole-file reader
-        .option("multiLine", multiline or encoding.upper().startswith("UTF-16"))
-    )
-    return reader.options(**options)
+    One aggregate over the lines; pass ``encoding`` and ``multiline`` to the readers to save it.
+    """
+    found = _survey(spark, path)[0]
+    return "UTF-16" if found in WIDE else found
 
 
-def _marked(reader, path: str, columns: list[str], sep: str) -> DataFrame:
-    """(first, raw, long) per row: its raw text if its number of fields is not the header's,
-    and whether it is longer. Fields are counted outside quotes; shorter rows are filled with nulls."""
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(columns))])
-    schema = schema.add("_malformed", T.StringType())
-    reader = reader.option("columnNameOfCorruptRecord", "_malformed")
-    # with pruning the parser would not count the fields of a row
-    rows = reader.option("columnPruning", False).schema(schema).csv(path)
-    bare = F.regexp_replace("_malformed", r'"[^"]*+"', "")
-    long = F.col("_malformed").isNotNull() & (F.size(F.split(bare, re.escape(sep), -1)) > len(columns))
-    # the parser does not run for the marks alone, so a field is asked for as well
-    return rows.select(F.col("c0").alias("first"), F.col("_malformed").alias("raw"), long.alias("long"))
+# ------------------------------------------------------------------ delimited text
 
 
-def count_ragged(reader, path: str, columns: list[str], sep: str) -> int:
-    """Rows with more fields than the header has names, empty ones included."""
-    if not columns:
-        return 0
-    return _marked(reader, path, columns, sep).agg(F.count_if("long").alias("n"), F.count("first")).first()["n"]
+class _Lines:
+    """Delimited text with a record on each line, by the CSV reader."""
+
+    def __init__(self, spark: SparkSession, path: str, sep: str, encoding: str, options: dict, multiline: bool = False) -> None:
+        reader = (
+            spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
+            .option("quote", '"').option("escape", '"').option("multiLine", multiline).options(**options)
+        )
+        self.path, self.sep, self.reader = path, sep, reader
+        self.texts = reader.csv(path)
+        self.columns = self.texts.columns
+
+    def long(self) -> DataFrame:
+        """(raw): rows with more fields than the header has names."""
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(self.columns))])
+        schema = schema.add("_malformed", T.StringType())
+        reader = self.reader.option("columnNameOfCorruptRecord", "_malformed")
+        # with pruning the parser would not count the fields of a row
+        rows = reader.option("columnPruning", False).schema(schema).csv(self.path)
+        long = F.col("_malformed").isNotNull() & (_fields(F.col("_malformed"), self.sep) > len(self.columns))
+        # the parser does not run for the marks alone, so a field is asked for as well
+        asked = F.col("c0").isNull() | F.col("c0").isNotNull()
+        return rows.where(long & asked).select(F.col("_malformed").alias("raw"), "c0").select("raw")
+
+
+class _Records:
+    """Delimited text whose records may go over lines, or are in two bytes a character: all tasks read a file at once."""
+
+    def __init__(self, spark: SparkSession, path: str, sep: str, encoding: str, options: dict) -> None:
+        quoting = Quoting(sep, '"', encoding)
+        records = quoted_records(spark, path, quoting)
+        header = records.where("first").orderBy("file").limit(1).collect()
+        self.sep, self.columns = sep, header_names(header[0]["value"], quoting) if header else []
+        self.records = records.where(~F.col("first"))
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(self.columns))])
+        parsed = F.from_csv("value", schema.toDDL(), {"sep": sep, "quote": '"', "escape": '"', **options}) if self.columns else F.lit(None)
+        self.texts = self.records.select(parsed.alias("row")).select(
+            *(F.col(f"row.c{i}").alias(name) for i, name in enumerate(self.columns)))
+
+    def long(self) -> DataFrame:
+        return self.records.where(_fields(F.col("value"), self.sep) > len(self.columns)).select(F.col("value").alias("raw"))
+
+
+def _fields(raw: Column, sep: str) -> Column:
+    """Number of fields of a row; what is quoted from the beginning of a field on holds no separator."""
+    sep = re.escape(sep)
+    return F.size(F.split(F.regexp_replace(raw, rf'(^|{sep})"(?:[^"]|"")*+(?:"|\z)', "$1"), sep, -1))
+
+
+def _source(spark: SparkSession, path: str, encoding: str | None, multiline: bool | None, options: dict):
+    """What reads the file under a given separator."""
+    wide = encoding is not None and encoding.upper().startswith("UTF-16")
+    if encoding is None or multiline is None or encoding.upper() == "UTF-16":
+        found, odd = _survey(spark, path)
+        encoding = found if encoding is None or wide and found in WIDE else encoding
+        multiline = odd if multiline is None else multiline
+    if encoding.upper() in (*WIDE, "UTF-16"):
+        name = encoding.upper() if encoding.upper() in WIDE else "UTF-16LE"
+        return lambda sep: _Records(spark, path, sep, name, options)
+    if multiline and encoding.upper() in ("UTF-8", "ISO-8859-1"):
+        return lambda sep: _Records(spark, path, sep, encoding.upper(), options)
+    return lambda sep: _Lines(spark, path, sep, encoding, options, bool(multiline))
 
 
 def read_delimited(
@@ -83,7 +120,7 @@ def read_delimited(
     path: str,
     sep: str = ",",
     encoding: str | None = None,
-    multiline: bool = False,
+    multiline: bool | None = None,
     fallback: bool = False,
     typed: bool = True,
     nullable_int_as_double: bool = True,
@@ -92,33 +129,30 @@ def read_delimited(
 ) -> DataFrame:
     """Delimited text with a header; null tokens read as null, types inferred.
 
-    ``fallback`` tries the other separators when the rows do not fit under ``sep``;
+    Line ends inside quotes belong to their field; ``multiline`` says whether there are any, and is found
+    out if it is not given. ``fallback`` tries the other separators when the rows do not fit under ``sep``;
     the first one under which no row has too many fields is taken. Rows that are longer
     than the header are an error, unless ``cut_long_rows`` asks to drop their surplus.
     """
-    encoding = encoding or detect_encoding(spark, path)
-
-    def reader(separator: str):
-        return _csv_reader(spark, separator, encoding, multiline, options)
-
-    frame = reader(sep).csv(path)
-    if not cut_long_rows and (long := count_ragged(reader(sep), path, frame.columns, sep)):
+    source = _source(spark, path, encoding, multiline, options)
+    found = source(sep)
+    if not cut_long_rows and (long := found.long().count() if found.columns else 0):
         for candidate in SEPARATORS if fallback else []:
-            frame = reader(candidate).csv(path)
-            if candidate != sep and not count_ragged(reader(candidate), path, frame.columns, candidate):
+            if candidate != sep and not (found := source(candidate)).long().count():
                 break
         else:
             raise ValueError(f"Unable to read file {path}: {long} rows are longer than the header")
-    texts = frame.select(
-        *[null_if_token(F.col(_quoted(c)), CSV_NULL_TOKENS).alias(c) for c in frame.columns]
+    texts = found.texts.select(
+        *[null_if_token(F.col(_quoted(c)), CSV_NULL_TOKENS).alias(c) for c in found.columns]
     )
     return infer_storage(texts, nullable_int_as_double) if typed else texts
 
 
-def long_rows(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", multiline: bool = False, **options) -> DataFrame:
+def long_rows(
+    spark: SparkSession, path: str, sep: str = ",", encoding: str | None = "UTF-8", multiline: bool | None = None, **options
+) -> DataFrame:
     """The raw text (``raw``) of rows with more fields than the header has names."""
-    reader = _csv_reader(spark, sep, encoding, multiline, options)
-    return _marked(reader, path, reader.csv(path).columns, sep).where(F.col("long") & (F.col("first").isNotNull() | F.col("first").isNull())).select("raw", "first").select("raw")
+    return _source(spark, path, encoding, multiline, options)(sep).long()
 
 
 def read_csv(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -188,11 +222,29 @@ def _structure(spark: SparkSession, path: str) -> tuple[str, list[str], bool, in
     return head["start"], head["names"] or [], bool(head["own"]), count["lines"], count["own"]
 
 
+def _is_object(text: Column) -> Column:
+    return text.rlike(r"^[ \t\n\r]*\{") & F.try_parse_json(text).isNotNull()
+
+
 def json_rejects(spark: SparkSession, path: str) -> DataFrame:
-    """The lines (``value``) of a JSON Lines file that are no JSON object."""
+    """What (``value``) is no JSON object: of the lines of JSON Lines, or of the elements of an array."""
+    if _structure(spark, path)[0] == "[":
+        return json_elements(spark, path).where(~_is_object(F.col("value")))
     text = F.trim("value")
-    own = text.startswith("{") & F.try_parse_json(text).isNotNull()
-    return spark.read.text(path).where((text != "") & ~own)
+    return spark.read.text(path).where((text != "") & ~_is_object(text))
+
+
+def _array_table(spark: SparkSession, path: str, options: dict) -> DataFrame:
+    """A row per object of an array, wherever its lines end; read by all tasks."""
+    elements = json_elements(spark, path)
+    own = _is_object(F.col("value"))
+    found = elements.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(own).alias("own"), json_type(F.when(own, F.col("value"))).alias("type")).first()
+    if found["own"] < found["rows"]:
+        raise ValueError(f"Unable to parse JSON file {path}: {found['rows'] - found['own']} of {found['rows']} elements are no JSON object")
+    schema = json_schema(found["type"])
+    head = elements.limit(1).select(F.json_object_keys("value").alias("names")).collect()
+    return json_rows(elements, "value", schema, head[0]["names"] if head else [], options)
 
 
 def read_json(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -205,18 +257,18 @@ def read_json(spark: SparkSession, path: str, **options) -> DataFrame:
     start, keys, first_own, lines, own = _structure(spark, path)
     if start not in ("[", "{"):
         raise ValueError(f"Unable to parse JSON file {path}: unsupported JSON structure")
-    if start == "{" and (first_own or 2 * own > lines):
+    if start == "[":
+        return _array_table(spark, path, options)
+    if first_own or 2 * own > lines:
         if own < lines:
             raise ValueError(f"Unable to parse JSON file {path}: {lines - own} of {lines} lines are no JSON object")
         frame, single = spark.read.options(**options).json(path), lines == 1
         first = [k for k in keys if k in frame.columns]  # inference sorts the columns by name
         frame = frame.select(*[_quoted(c) for c in first + [c for c in frame.columns if c not in first]])
     else:
-        # an array on one line needs no whole-file reader
-        frame = spark.read.option("multiLine", lines > 1 or start == "{").options(**options).json(path)
+        frame, single = spark.read.option("multiLine", True).options(**options).json(path), True
         if "_corrupt_record" in frame.columns:
             raise ValueError(f"Unable to parse JSON file {path}")
-        single = start == "{"
     nested = (T.StructType, T.ArrayType, T.MapType)
     if single and all(isinstance(f.dataType, nested) for f in frame.schema.fields):
         return flatten(frame)

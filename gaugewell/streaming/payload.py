@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugewell.functions.detectors import is_integer, is_json, to_number
+from gaugewell.functions.json_types import json_rows, json_schema, json_type
 from gaugewell.functions.text import double_text
 from gaugewell.operators.profile import TableProfile
 from gaugewell.operators.validate import VALIDATION_COLUMNS, FieldView, judge_records
-from gaugewell.session import scratch_path
 
 
 def _quoted(name: str) -> str:
@@ -63,18 +63,12 @@ def decode(messages: DataFrame, schema: T.StructType | str) -> DataFrame:
 def payload_table(messages: DataFrame) -> DataFrame:
     """Payloads as a table whose schema is inferred, for learning a profile.
 
-    The payloads are written once as JSON Lines to the shared folder and read back
-    by the JSON source, which infers the schema as a distributed aggregate.
+    One aggregate finds the schema; nothing is written. The first payload's fields come first.
     """
-    spark = messages.sparkSession
-    path = scratch_path(spark, "payloads")
-    flat = F.regexp_replace("value", r"[\r\n]+", " ")
-    well_formed(messages).select(flat.alias("value")).write.text(path)
-    frame = spark.read.json(path)
-    head = spark.read.text(path).select(F.json_object_keys("value").alias("k")).first()
-    first = [k for k in (head["k"] if head else []) if k in frame.columns]
-    rest = [c for c in frame.columns if c not in first]
-    return frame.select(*[_quoted(c) for c in first + rest])
+    payloads = well_formed(messages).select("value")
+    schema = json_schema(payloads.agg(json_type(F.col("value"))).first()[0])
+    head = payloads.select(F.json_object_keys("value").alias("names")).limit(1).collect()
+    return json_rows(payloads, "value", schema, head[0]["names"] if head else [])
 
 
 def _variant_path(name: str) -> str:
