@@ -5,11 +5,13 @@ A name depends only on what it stands for, so all tasks give equal pieces the sa
 and each symbol carries the range of words that decided how it was formed. Whatever
 repeats a window that holds this range repeats the symbol too. So a symbol that occurs
 once in the whole corpus rules out all windows around its range, and only the windows
-left are compared, by two 64-bit fingerprints of their words.
+left are verified, by a cryptographic digest of their words. Names are quick hashes: words that share
+one can leave a window to be verified, but never remove or keep one.
 
 The texts cross one shuffle, compressed and once per distinct text and task, into blocks of
-bounded size. Symbols and windows cross as one row per block and name, so that a passage
-held by a third of all documents costs each block one row.
+bounded size. Symbols and windows are stored as one row per block and name, so that a passage
+held by a third of all documents costs each block one row; they are added up before a shuffle, and the join
+that brings the totals back can split a name of many blocks.
 
 Cases: null text has no words; equal texts are one text with several copies; a text shorter
 than a window keeps its words; repeated rows count as copies and each gets a result row.
@@ -23,12 +25,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from gaugewell.llm.texts import Words, mix, pieces, powers, text_or_empty
-from gaugewell.session import scratch_path
+from gaugewell.llm.texts import Words, mix, pieces, text_or_empty
+from gaugewell.session import remove_path, scratch_path
 
 WINDOW = 35
 ROUNDS = 5
@@ -38,7 +40,6 @@ BLOCK_BYTES = 8 << 20
 PIECE_BYTES = 1 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_WINDOW_BASES = (0x5851F42D4C957F2D, 0xD1342543DE82EF95)
 
 
 class Symbols:
@@ -107,15 +108,22 @@ def parse(names: np.ndarray, bounds: np.ndarray, rounds: int = ROUNDS) -> Symbol
     return symbols
 
 
-def window_fingerprints(words: Words, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit fingerprints of the windows that begin at ``starts``."""
-    out = []
-    for which, base in enumerate(_WINDOW_BASES):
-        power = powers(base, len(words) + 1)
-        inverse = powers(pow(base, -1, 1 << 64), len(words) + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.names(which) * power[:-1])])
-        out.append(mix((sums[starts + window] - sums[starts]) * inverse[starts]))
-    return out[0], out[1]
+def window_digests(words: Words, starts: np.ndarray, window: int) -> np.ndarray:
+    """128 bits of a cryptographic hash of the words of each window, joined by a space."""
+    # all words behind one another, a space after each
+    size = words.ends - words.starts + 1
+    at = np.concatenate([[0], np.cumsum(size)])
+    joined = np.full(at[-1], 0x20, np.uint8)
+    joined[~_marks(at[1:] - 1, int(at[-1]))] = words.data[words.inside]
+    text, blake = joined.tobytes(), hashlib.blake2b
+    found = b"".join([blake(text[low:high], digest_size=16).digest() for low, high in zip(at[starts].tolist(), (at[starts + window] - 1).tolist())])
+    return np.frombuffer(found, np.uint64).reshape(-1, 2)
+
+
+def _marks(places: np.ndarray, count: int) -> np.ndarray:
+    marks = np.zeros(count, bool)
+    marks[places] = True
+    return marks
 
 
 class Piece:
@@ -172,7 +180,7 @@ class Block:
             np.concatenate(names) if names else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
 
     def windows(self, shared: np.ndarray) -> None:
-        """Find the candidate windows, numbered by their sorted fingerprints."""
+        """Find the candidate windows, numbered by their sorted digests."""
         known = np.zeros(len(self.names), bool)
         known[shared] = True
         flags, at, self.starts, high, low = known[self.where], 0, [], [], []
@@ -180,9 +188,9 @@ class Block:
             self.starts.append(piece.candidates(flags[at:at + len(piece.names)]))
             at += len(piece.names)
             if len(self.starts[-1]):
-                a, b = window_fingerprints(piece.words, self.starts[-1], piece.window)
-                high.append(a)
-                low.append(b)
+                digests = window_digests(piece.words, self.starts[-1], piece.window)
+                high.append(digests[:, 0])
+                low.append(digests[:, 1])
         high = np.concatenate(high) if high else np.zeros(0, np.uint64)
         low = np.concatenate(low) if low else np.zeros(0, np.uint64)
         order = np.lexsort((low, high))
@@ -283,6 +291,12 @@ def _remove(window: int):
     return run
 
 
+def _repeated(rows: DataFrame, key: list[str], kind: int) -> DataFrame:
+    """(block, number, kind) of the stored rows whose key occurs more than once over all blocks."""
+    often = rows.groupBy(*key).agg(F.sum("n").alias("total")).where("total > 1").select(*key)
+    return rows.join(often, key).select("block", "number", F.lit(kind).alias("kind"))
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, n_words, n_removed, kept_sha256 of the words that stay.
 
@@ -304,24 +318,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     )
     scratch = scratch_path(spark, "recompression")
 
-    counts = packed.groupBy("block").applyInArrow(_count_symbols(window), _SYMBOLS)
-    (
-        counts.withColumn("total", F.sum("n").over(Window.partitionBy("name")))
-        .where("total > 1").select("block", "number", F.lit(0).alias("kind"))
-        .write.parquet(f"{scratch}/symbols")
-    )
+    packed.groupBy("block").applyInArrow(_count_symbols(window), _SYMBOLS).write.parquet(f"{scratch}/names")
+    _repeated(spark.read.parquet(f"{scratch}/names"), ["name"], 0).write.parquet(f"{scratch}/symbols")
+    remove_path(spark, f"{scratch}/names")
     shared = spark.read.parquet(f"{scratch}/symbols")
-    windows = packed.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_count_windows(window), _WINDOWS)
-    repeated = (
-        windows.withColumn("total", F.sum("n").over(Window.partitionBy("high", "low")))
-        .where("total > 1").select("block", "number", F.lit(1).alias("kind"))
-    )
+    packed.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_count_windows(window), _WINDOWS).write.parquet(f"{scratch}/windows")
+    repeated = _repeated(spark.read.parquet(f"{scratch}/windows"), ["high", "low"], 1)
     side = shared.unionByName(repeated)
     (
         packed.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(_remove(window), _RESULTS)
         .write.parquet(f"{scratch}/results")
     )
     packed.unpersist()
+    for done in ("symbols", "windows"):
+        remove_path(spark, f"{scratch}/{done}")
     results = spark.read.parquet(f"{scratch}/results")
     return (
         texts.select(id_col, "digest").join(results, "digest")

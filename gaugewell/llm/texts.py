@@ -32,7 +32,7 @@ _KINDS[ord("a"):ord("z") + 1] = _KINDS[128:] = 301
 _KINDS[ord("0"):ord("9") + 1] = 302
 
 _MULTIPLIERS = (np.uint64(0x9E6C63D0876A3F35), np.uint64(0xC2B2AE3D27D4EB4F))
-_powers: dict[int, np.ndarray] = {}
+_weights: dict[int, np.ndarray] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,16 +89,6 @@ def annotate(docs: DataFrame, compute: Callable[[np.ndarray, np.ndarray], dict[s
     return inner.mapInArrow(run, f"{schema}, {given}"), [F.col(f"__c{i}").alias(c) for i, c in enumerate(names)]
 
 
-def powers(multiplier: int, count: int) -> np.ndarray:
-    """multiplier ** 0 .. count - 1, modulo 2 ** 64."""
-    known = _powers.get(multiplier)
-    if known is None or len(known) < count:
-        steps = np.full(max(count, 4096), multiplier, np.uint64)
-        steps[0] = 1
-        known = _powers[multiplier] = np.multiply.accumulate(steps)
-    return known[:count]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values under which every bit depends on every bit."""
     x = x ^ (x >> np.uint64(33))
@@ -108,6 +98,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def weights(seed: int, count: int) -> np.ndarray:
+    """An odd number for each position, of no pattern: unlike powers, sums weighted by them cancel out for no regular text."""
+    known = _weights.get(seed)
+    if known is None or len(known) < count:
+        known = _weights[seed] = mix(np.arange(max(count, 4096), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
+    return known[:count]
+
+
 class Words:
     """The words of some documents: maximal byte runs without separators, which are ASCII white space.
 
@@ -151,7 +149,7 @@ class Words:
         data, at = self.data, np.arange(len(self.data))
         since = at - np.maximum.accumulate(np.where(self.first, at, 0))
         multiplier = _MULTIPLIERS[which]
-        terms = (data.astype(np.uint64) + np.uint64(1)) * powers(int(multiplier), int(since.max()) + 1)[since]
+        terms = (data.astype(np.uint64) + np.uint64(1)) * weights(int(multiplier), int(since.max()) + 1)[since]
         terms[~self.inside] = 0
         sums = np.add.reduceat(terms, self.starts)
         return mix(sums + (self.ends - self.starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -166,7 +164,7 @@ class Words:
         new = (new | self.first) & self.inside
         rank = np.cumsum(new)
         rank -= np.maximum.accumulate(np.where(self.first, rank, 0))
-        terms = kind.astype(np.uint64) * powers(int(_MULTIPLIERS[0]), int(rank.max()) + 1)[np.maximum(rank, 0)]
+        terms = kind.astype(np.uint64) * weights(int(_MULTIPLIERS[0]), int(rank.max()) + 1)[np.maximum(rank, 0)]
         terms[~new] = 0
         return mix(np.add.reduceat(terms, self.starts))
 
