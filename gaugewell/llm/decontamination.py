@@ -28,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gaugewell.llm.texts import LOWER, NO_LETTER, Words, annotate, mix, pieces, powers, text_or_empty, utf8
+from gaugewell.llm.texts import LOWER, NO_LETTER, Words, mix, pieces, weights, text_or_empty, utf8
 
 #: Edits allowed per word of the item: a similarity of 0.8.
 EDIT_SHARE = 0.2
@@ -37,9 +38,13 @@ RECALL = 0.999
 SAMPLED_PLACES = 3
 #: Bytes of item text that one pass over the documents carries to each task.
 BLOCK_BYTES = 8 << 20
+#: Repeats are enough for the wanted recall where a walk finds its likes with this chance at least.
+LEAST_CHANCE = 0.03
 _FILTER_BITS = 18
 #: Words of windows that a task holds before it looks at them.
 _HELD_WORDS = 2 << 20
+#: Bytes of text that a task holds while several blocks of items pass over them.
+_HELD_BYTES = 32 << 20
 #: Candidates whose distance is computed at once.
 _PAIRS = 1 << 14
 _ROW = np.uint64(0xA0761D6478BD642F)
@@ -125,6 +130,8 @@ class Items:
         sizes = np.diff(bounds)
         self.groups: list[tuple[int, np.ndarray, np.ndarray, np.uint64]] = []
         self.walks, self.keys = {}, {}
+        #: The chance, by length, with which a passage at the allowed distance becomes a candidate.
+        self.reached: dict[int, float] = {}
         for number, size in enumerate(np.unique(sizes[sizes > 0]).tolist()):
             which = np.flatnonzero(sizes == size)
             rows, bit = names[bounds[which][:, None] + np.arange(size)], np.uint64(1 << number % 64)
@@ -165,8 +172,11 @@ class Items:
             edited[r] = words[:size]
         test = Walks(size, 64, seed + 1)
         same = (test.keys(rows) == test.keys(edited)).mean(axis=0)
-        chance = min(max(float(np.quantile(same, 0.05)), 0.03), 0.99)
-        return max(4, int(np.ceil(np.log(1 - recall) / np.log(1 - chance))))
+        chance = float(np.quantile(same, 0.05))
+        known = min(max(chance, LEAST_CHANCE), 0.99)
+        repeats = max(4, int(np.ceil(np.log(1 - recall) / np.log(1 - known))))
+        self.reached[size] = 1 - (1 - min(chance, 0.99)) ** repeats
+        return repeats
 
     def matches(self, batch: pa.RecordBatch, text: str = "text") -> list[set[int]]:
         """For each document of the batch the positions of the items that it holds."""
@@ -232,7 +242,7 @@ class Items:
         around, owner = (np.concatenate(p) for p in zip(*parts))
         allowed = self.allowed(size)
         windows = around[:, allowed:allowed + size]
-        _, at, back = np.unique(mix(windows * powers(int(_ROW), size)).sum(axis=1), return_index=True, return_inverse=True)
+        _, at, back = np.unique(mix(windows * weights(int(_ROW), size)).sum(axis=1), return_index=True, return_inverse=True)
         windows = windows[at]
         item_keys, items = self.keys[size]
         pairs = []
@@ -262,31 +272,17 @@ class Items:
         item = np.repeat(item, count)
         left_open = np.array([i not in found[d] for d, i in zip(owner[place].tolist(), which[item].tolist())], bool)
         place, item = place[left_open], item[left_open]
-        name = mix(around[place] * powers(int(_ROW), around.shape[1])).sum(axis=1)
+        name = mix(around[place] * weights(int(_ROW), around.shape[1])).sum(axis=1)
         _, at, back = np.unique(mix(name) + item.astype(np.uint64), return_index=True, return_inverse=True)
         near = (_passage_distances(rows, around, item[at], place[at]) <= allowed)[back]
         for document, i in zip(owner[place[near]].tolist(), which[item[near]].tolist()):
             found[document].add(i)
 
 
-_ITEM = pa.struct([("id", pa.int64()), ("number", pa.int64())])
-
-
-def _match(items: Items, first: int):
-    """The items of each document by id and number in the benchmark; ``first`` is the number of the block's first."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def order(i):
-            return items.ids[i] is not None, items.ids[i] or 0, i
-
-        for batch in batches:
-            lists = [[(items.ids[i], first + i) for i in sorted(f, key=order)] for f in items.matches(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(_ITEM))], ["id", "items"])
-    return run
-
-
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> Iterator[tuple[list, list[str]]]:
     """The items in blocks of at most ``most`` bytes, one block at a time on the driver."""
-    rows = benchmark.select(F.col(item_col).cast("long").alias("id"), text_or_empty(F.col(text_col)).alias("text"))
+    kind = "long" if isinstance(benchmark.schema[item_col].dataType, T.IntegralType) else "string"
+    rows = benchmark.select(F.col(item_col).cast(kind).alias("id"), text_or_empty(F.col(text_col)).alias("text"))
     ids, texts, size = [], [], 0
     for row in rows.toLocalIterator():
         ids.append(row["id"])
@@ -299,34 +295,67 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> It
         yield ids, texts
 
 
+def _taken(block: Broadcast, alone: bool) -> tuple[Items, int]:
+    """The items of a block and the number of its first; the worker keeps them if it is the only block."""
+    value = block.value
+    if not alone:
+        vars(block).pop("_value", None)
+    return value
+
+
+def _search(blocks: list[Broadcast], kind: pa.DataType):
+    """Each row's items, by id and number in the benchmark, before its other columns."""
+    item = pa.struct([("id", kind), ("number", pa.int64())])
+
+    def judged(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [[[] for _ in range(batch.num_rows)] for batch in held]
+        for block in blocks:
+            items, first = _taken(block, len(blocks) == 1)
+            for batch, lists in zip(held, found):
+                for into, matches in zip(lists, items.matches(batch, "__text")):
+                    into.extend((items.ids[i], first + i) for i in matches)
+        for batch, lists in zip(held, found):
+            lists = [sorted(f, key=lambda m: (m[0] is not None, m[0] if m[0] is not None else 0, m[1])) for f in lists]
+            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(item)), *batch.columns[1:]], ["items", *batch.schema.names[1:]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.column(0).nbytes
+            if len(blocks) == 1 or size >= _HELD_BYTES:
+                yield from judged(held)
+                held, size = [], 0
+        yield from judged(held)
+    return run
+
+
+def _judged(docs: DataFrame, columns: list[str], text_col: str, benchmark: DataFrame, item_col: str, item_text_col: str,
+            block_bytes: int, *options) -> DataFrame:
+    """``items`` of each row, and the asked columns as c0, c1, ...: one scan, whatever the number of blocks."""
+    spark, blocks, first = docs.sparkSession, [], 0
+    for ids, texts in _blocks(benchmark, item_col, item_text_col, block_bytes):
+        # the driver keeps a handle
+        blocks.append(spark.sparkContext.broadcast((Items(ids, texts, *options), first)))
+        first += len(ids)
+    whole = isinstance(benchmark.schema[item_col].dataType, T.IntegralType)
+    named = docs.toDF(*(f"__d{i}" for i in range(len(docs.columns))))
+    place = {c: f"__d{i}" for i, c in enumerate(docs.columns)}
+    given = named.select(text_or_empty(F.col(place[text_col])).alias("__text"), *(F.col(place[c]).alias(f"c{i}") for i, c in enumerate(columns)))
+    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in given.schema[1:])
+    return given.mapInArrow(
+        _search(blocks, pa.int64() if whole else pa.string()), f"items array<struct<id: {'long' if whole else 'string'}, number: long>>{kinds}")
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, edit_share: float = EDIT_SHARE, recall: float = RECALL, seed: int = 17,
     block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
-    """Per document: id, contaminated, n_items, item_ids (sorted, null first) of the items it holds."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(F.col(text_col)).alias("text"))
-    schema = f"id {kind}, items array<struct<id: long, number: long>>"
-    parts, first = [], 0
-    for ids, items in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        parts.append(texts.mapInArrow(_match(Items(ids, items, edit_share, recall, seed), first), schema))
-        first += len(ids)
-    if not parts:
-        found = texts.select("id", F.array().cast("array<struct<id: long, number: long>>").alias("items"))
-    elif len(parts) == 1:
-        found = parts[0]
-    else:
-        found = parts[0].withColumn("part", F.lit(0))
-        for number, part in enumerate(parts[1:], 1):
-            found = found.unionByName(part.withColumn("part", F.lit(number)))
-        # repeated rows: each block returns as many rows of an id, so their number is kept
-        found = found.groupBy("id").agg(
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            F.sum((F.col("part") == 0).cast("int")).alias("copies"),
-        ).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    """Per row: id, contaminated, n_items, item_ids (sorted, null first) of the items it holds."""
+    found = _judged(docs, [id_col], text_col, benchmark, item_col, item_text_col, block_bytes, edit_share, recall, seed)
     return found.select(
-        F.col("id").alias(id_col), (F.size("items") > 0).alias("contaminated"),
+        F.col("c0").alias(id_col), (F.size("items") > 0).alias("contaminated"),
         F.size("items").cast("long").alias("n_items"), F.col("items.id").alias("item_ids"))
 
 
@@ -335,14 +364,17 @@ def drop_contaminated(
     block_bytes: int = BLOCK_BYTES, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
     """The rows of ``docs``, columns unchanged, that hold no item of the benchmark."""
-    for ids, items in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        block = Items(ids, items, edit_share, recall, seed)
+    found = _judged(docs, docs.columns, text_col, benchmark, item_col, item_text_col, block_bytes, edit_share, recall, seed)
+    return found.where(F.size("items") == 0).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
-        def compute(data, offsets, block=block):
-            batch = pa.RecordBatch.from_arrays(
-                [pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data))], ["text"])
-            return {"__clean": [not found for found in block.matches(batch)]}
 
-        rows, given = annotate(docs, compute, "__clean boolean", text_col)
-        docs = rows.where("__clean").select(*given)
-    return docs
+def expected_recall(
+    benchmark: DataFrame, edit_share: float = EDIT_SHARE, recall: float = RECALL, seed: int = 17, block_bytes: int = BLOCK_BYTES,
+    item_col: str = "item_id", item_text_col: str = "text",
+) -> DataFrame:
+    """(words, recall): for each length of items the least chance that a passage with all allowed edits is found."""
+    found: dict[int, float] = {}
+    for ids, texts in _blocks(benchmark, item_col, item_text_col, block_bytes):
+        for size, reached in Items(ids, texts, edit_share, recall, seed).reached.items():
+            found[size] = min(reached, found.get(size, 1.0))
+    return benchmark.sparkSession.createDataFrame(sorted(found.items()), "words long, recall double")
