@@ -15,6 +15,7 @@ come last; a single document is its own next one.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gaugewell.llm.texts import mix, pieces, powers, text_or_empty, utf8
+from gaugewell.llm.texts import mix, pieces, weights, text_or_empty, utf8
 
 LEVELS = (2, 3)  # whose phrases make the fingerprint; about 10 and 30 bytes long
 KEPT = 64
@@ -81,7 +83,7 @@ def phrase_names(data: np.ndarray, offsets: np.ndarray, levels: tuple[int, ...]
         begins = _starts(symbols, first)
         length = np.diff(np.append(begins, len(symbols)))
         within = np.arange(len(symbols)) - np.repeat(begins, length)
-        names = np.add.reduceat(names * powers(_NAME, int(length.max()))[within], begins)
+        names = np.add.reduceat(names * weights(_NAME, int(length.max()))[within], begins)
         symbols = mix(names + length.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
         bounds = np.searchsorted(begins, bounds)
         out.append((symbols, bounds))
@@ -165,67 +167,105 @@ def _compare_with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             ], ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
 
-def _range_of(keys: pa.Array, cuts: np.ndarray) -> np.ndarray:
-    """Ranges are numbered from the largest keys down."""
-    return len(cuts) - np.searchsorted(cuts, keys.to_numpy().astype(np.float64), "right")
+class _Cuts:
+    """Borders of ranges of (key, order), both falling, numbered from the largest down."""
 
+    def __init__(self, cuts: list[tuple[int, int]]) -> None:
+        self.keys = np.array([k for k, _ in cuts], np.int64)
+        self.orders = np.array([o for _, o in cuts], np.int64)
 
-def _ranges(bounds: list[float]):
-    cuts = np.array(bounds, np.float64)
+    def ranges(self, keys: np.ndarray, orders: np.ndarray) -> np.ndarray:
+        below = np.searchsorted(self.keys, keys, "left")
+        if len(self.keys):
+            at = np.flatnonzero(self.keys[np.minimum(below, len(self.keys) - 1)] == keys)
+            # rows whose key is a border, by the borders that this key has
+            for key in np.unique(keys[at]):
+                rows = at[keys[at] == key]
+                own = np.flatnonzero(self.keys == key)
+                below[rows] = own[0] + np.searchsorted(self.orders[own], orders[rows], "right")
+        return len(self.keys) - below
 
+
+def _cut_places(rows: DataFrame, ranges: int) -> _Cuts:
+    """Borders of about equally many rows. A key that fills several ranges is cut by the order of its rows."""
+    if ranges < 2:
+        return _Cuts([])
+    places = rows.select("key").approxQuantile("key", [i / ranges for i in range(1, ranges)], 0.25 / ranges)
+    count = Counter(_whole(p) for p in places)
+    cuts = [(k, np.iinfo(np.int64).min) for k in count]
+    hot = {k: n for k, n in count.items() if n > 1}
+    if hot:
+        shares = F.array(*(F.lit(i / ranges) for i in range(1, ranges)))
+        found = rows.where(F.col("key").isin(list(hot))).groupBy("key").agg(F.percentile_approx("order", shares, F.lit(4 * ranges)).alias("orders"))
+        for row in found.collect():  # the keys that fill several ranges
+            cuts += [(row["key"], o) for o in row["orders"][::max(1, ranges // (hot[row["key"]] + 1))]]
+    return _Cuts(sorted(set(cuts)))
+
+
+def _whole(place: float) -> int:
+    return int(min(max(place, -(1 << 63)), (1 << 63) - 1024))
+
+
+def _ranges(cuts: _Cuts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bucket = pa.array(_range_of(batch.column(0), cuts), pa.int32())
-            yield pa.RecordBatch.from_arrays([bucket, batch.column(0)], ["bucket", "key"])
+            bucket = cuts.ranges(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *batch.columns], ["bucket", "key", "order"])
     return run
 
 
-def _pack(bounds: list[float]):
-    cuts = np.array(bounds, np.float64)
-
+def _pack(cuts: _Cuts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            bucket, text = _range_of(batch.column(1), cuts), batch.column(3)
+            bucket, text = cuts.ranges(batch.column(1).to_numpy(), batch.column(2).to_numpy()), batch.column(3)
             packed = [pack(text[i].as_buffer()) for i in range(len(text))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(bucket, pa.int32()), *batch.columns[:3], pa.array(packed, pa.binary())],
-                ["bucket", "id", "key", "tie", "packed"])
+                ["bucket", "id", "key", "order", "packed"])
     return run
 
 
+#: Bits of the order of rows with one id that tell copies apart, which may stand in any order.
+_COPY_BITS = 20
+
+
 def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: its fingerprint, that of its edited text and the likeness to that and to the next document.
 
     The edited text has its last half replaced by the beginning of the next document in
     descending order of the id; the first one follows the last.
     """
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError("ids must be whole numbers")
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     last = -(1 << 63)
     texts = docs.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("key"),
         text_or_empty(F.col(text_col)).alias("text"))
-    texts = texts.select("id", "key", F.xxhash64("text").alias("tie"), "text")
-    # as many ranges of ids as there are partitions, found from the ids alone
-    ranges = max(1, partitions * 2)
-    cuts = sorted(set(texts.select("key").approxQuantile("key", [i / ranges for i in range(1, ranges)], 0.001)))
-    rows = texts.mapInArrow(_pack(cuts), "bucket int, id long, key long, tie long, packed binary")
+    # rows of one id by a hash of their texts; the last bits spread copies
+    copies = F.lit((1 << _COPY_BITS) - 1)
+    order = F.xxhash64("text").bitwiseAND(F.bitwise_not(copies)).bitwiseOR(F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(copies))
+    texts = texts.select("id", "key", order.alias("order"), "text")
+    # as many ranges as there are partitions, found from the ids alone
+    cuts = _cut_places(texts.select("key", "order"), max(1, partitions * 2))
+    rows = texts.mapInArrow(_pack(cuts), "bucket int, id long, key long, order long, packed binary")
 
     # the first row of each range also stands behind the last row of the range before it
     firsts = (
-        texts.select("key").mapInArrow(_ranges(cuts), "bucket int, key long")
-        .groupBy("bucket").agg(F.max("key").alias("key")).orderBy("bucket").collect()  # a row per range
+        texts.select("key", "order").mapInArrow(_ranges(cuts), "bucket int, key long, order long")
+        .groupBy("bucket").agg(F.max(F.struct("key", "order")).alias("first")).orderBy("bucket").collect()  # a row per range
     )
-    behind = [(firsts[i - 1]["bucket"], r["key"]) for i, r in enumerate(firsts)]
+    behind = [(firsts[i - 1]["bucket"], *r["first"]) for i, r in enumerate(firsts)]
     if not behind:
         return rows.mapInArrow(_compare_with_next, _LIKENESS).withColumnRenamed("id", id_col)
-    wanted = spark.createDataFrame(behind, "before int, key long")
-    heads = texts.join(F.broadcast(wanted), "key").groupBy("before").agg(F.min_by("text", "tie").alias("text"))
-    heads = heads.select(F.lit(None).cast("long").alias("id"), F.col("before").cast("long").alias("key"), F.lit(0).cast("long").alias("tie"), "text")
-    edges = heads.mapInArrow(_pack([]), "bucket int, id long, key long, tie long, packed binary").withColumn("bucket", F.col("key").cast("int"))
+    wanted = spark.createDataFrame(behind, "before int, key long, order long")
+    heads = texts.join(F.broadcast(wanted), ["key", "order"]).groupBy("before").agg(F.min("text").alias("text"))
+    heads = heads.select(F.lit(None).cast("long").alias("id"), F.col("before").cast("long").alias("key"), F.lit(0).cast("long").alias("order"), "text")
+    edges = heads.mapInArrow(_pack(_Cuts([])), "bucket int, id long, key long, order long, packed binary").withColumn("bucket", F.col("key").cast("int"))
     both = rows.withColumn("edge", F.lit(False)).unionByName(edges.withColumn("edge", F.lit(True)))
-    ordered = both.repartition(partitions, "bucket").sortWithinPartitions("bucket", "edge", F.desc("key"), "tie")
+    ordered = both.repartition(partitions, "bucket").sortWithinPartitions("bucket", "edge", F.desc("key"), F.desc("order"))
     return ordered.mapInArrow(_compare_with_next, _LIKENESS).withColumnRenamed("id", id_col)
 
 
