@@ -1,9 +1,12 @@
 """Token counts that follow edits: only what an edit touches is encoded again.
 
-A text is cut into leaves of some hundred bytes at places where every split into pre-tokens
-has a border (a letter, then a space and a letter). The leaves' counts and lengths are summed up in
-a tree. An edit takes the leaves it touches and one on each side, whose outer borders it cannot
-reach; their text is edited, encoded and put in their place, and the sums above are renewed.
+A text is cut into leaves of some hundred characters at places where every split into pre-tokens has a
+border, in any script: before white space that follows something else, and between a letter, a digit and a mark, but not
+behind an apostrophe. The leaves' counts and lengths are summed up in a tree. An edit takes the leaves it
+touches and one on each side, whose outer borders it cannot reach; their text is edited, cut and encoded
+and put in their place, and the sums above are renewed. Where an edit needs more leaves than it
+took, the tree is built anew from the sums of all leaves, without encoding the others. Only a
+run of letters, digits or marks without any border, which is one pre-token, makes a longer leaf.
 
 The vocabulary is a rank file given by its path; the driver reads it and tasks get its bytes.
 
@@ -18,6 +21,7 @@ import base64
 from collections.abc import Iterator
 from functools import cache
 from pathlib import Path
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +29,39 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugewell.llm.texts import NO_LETTER, pieces, text_or_empty
+from gaugewell.llm.texts import pieces, text_or_empty
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # The split into pre-tokens that belongs to the vocabulary (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LEAF_BYTES = 256
+LEAF_CHARACTERS = 256
 
-_LETTER = ~NO_LETTER
-_LETTER[128:] = False
+# White space of Unicode (fixed values).
+_WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_SPACE, _LETTER, _DIGIT, _MARK, _APOSTROPHE, _UNKNOWN = range(6)
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """The kind of each code point; what Unicode has not assigned may be anything."""
+    kind = {"L": _LETTER, "N": _DIGIT}
+    found = np.array([_UNKNOWN if (c := category(chr(i))) == "Cn" else kind.get(c[0], _MARK) for i in range(0x110000)], np.uint8)
+    found[_WHITE], found[0x27] = _SPACE, _APOSTROPHE
+    return found
+
+
+@cache
+def _borders() -> np.ndarray:
+    """Whether there is a border between a character of one kind and one of another, whatever stands around them."""
+    found = np.zeros((6, 6), bool)
+    words = [_LETTER, _DIGIT, _MARK, _APOSTROPHE]
+    for left in words:
+        found[left, _SPACE] = True
+        for right in words:
+            found[left, right] = left != right
+    found[_MARK, _APOSTROPHE] = found[_APOSTROPHE, _MARK] = False  # marks of one run
+    found[_APOSTROPHE, _LETTER] = False  # what follows may be a contraction
+    return found
 
 
 @cache
@@ -44,14 +72,13 @@ def encoding(ranks: bytes, pattern: str) -> tiktoken.Encoding:
 
 def cut(text: str) -> list[str]:
     """The text in leaves that begin where a pre-token begins in any case."""
-    raw = text.encode()
-    if len(raw) <= LEAF_BYTES:
+    if len(text) <= LEAF_CHARACTERS:
         return [text]
-    data = np.frombuffer(raw, np.uint8)
-    safe = np.flatnonzero(_LETTER[data[:-2]] & (data[1:-1] == 0x20) & _LETTER[data[2:]]) + 1
-    chosen = np.searchsorted(safe, np.arange(LEAF_BYTES, len(raw), LEAF_BYTES))
-    at = [0, *np.unique(safe[chosen[chosen < len(safe)]]).tolist(), len(raw)]
-    return [raw[a:b].decode() for a, b in zip(at, at[1:])]
+    kind = _kinds()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    safe = np.flatnonzero(_borders()[kind[:-1], kind[1:]]) + 1
+    chosen = np.searchsorted(safe, np.arange(LEAF_CHARACTERS, len(text), LEAF_CHARACTERS))
+    at = [0, *np.unique(safe[chosen[chosen < len(safe)]]).tolist(), len(text)]
+    return [text[a:b] for a, b in zip(at, at[1:])]
 
 
 class TokenTree:
@@ -59,20 +86,26 @@ class TokenTree:
 
     def __init__(self, text: str, encode) -> None:
         self.encode, self.encoded = encode, 0
-        self.leaves = cut(text)
-        self.size = 1 << max(0, (len(self.leaves) - 1).bit_length())
-        self.leaves += [""] * (self.size - len(self.leaves))
-        self.characters, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
-        for i, leaf in enumerate(self.leaves):
-            self._fill(i, leaf)
+        leaves = cut(text)
+        self._build(leaves, [len(leaf) for leaf in leaves], [self._measure(leaf) for leaf in leaves])
+
+    def _measure(self, text: str) -> int:
+        self.encoded += len(text)
+        return len(self.encode(text)) if text else 0
+
+    def _build(self, leaves: list[str], characters: list[int], tokens: list[int]) -> None:
+        """The tree over leaves of known sums, with half as much room again."""
+        count = len(leaves)
+        self.size = 1 << max(0, (count + count // 2 - 1).bit_length())
+        empty = [0] * (self.size - count)
+        self.leaves = leaves + [""] * len(empty)
+        self.characters, self.tokens = [0] * self.size + characters + empty, [0] * self.size + tokens + empty
         for node in range(self.size - 1, 0, -1):
             self._sum(node)
 
-    def _fill(self, leaf: int, text: str) -> None:
+    def _fill(self, leaf: int, text: str, tokens: int) -> None:
         self.leaves[leaf] = text
-        self.characters[self.size + leaf] = len(text)
-        self.tokens[self.size + leaf] = len(self.encode(text)) if text else 0
-        self.encoded += len(text)
+        self.characters[self.size + leaf], self.tokens[self.size + leaf] = len(text), tokens
 
     def _sum(self, node: int) -> None:
         self.characters[node] = self.characters[2 * node] + self.characters[2 * node + 1]
@@ -103,12 +136,15 @@ class TokenTree:
         high = self._beside(high, 1)
         whole = "".join(self.leaves[low:high + 1])
         parts = cut(whole[:start - begin] + text + whole[end - begin:])
+        tokens = [self._measure(part) for part in parts]
         room = high + 1 - low
-        if len(parts) > room:  # what does not fit goes into the last leaf
-            parts = [*parts[:room - 1], "".join(parts[room - 1:])]
-        parts += [""] * (room - len(parts))
-        for i, part in zip(range(low, high + 1), parts):
-            self._fill(i, part)
+        if len(parts) > room:
+            known = list(zip(self.leaves, self.characters[self.size:], self.tokens[self.size:]))
+            rows = [*known[:low], *zip(parts, map(len, parts), tokens), *known[high + 1:]]
+            self._build(*map(list, zip(*(r for r in rows if r[0]))))
+            return
+        for i in range(room):
+            self._fill(low + i, parts[i] if i < len(parts) else "", tokens[i] if i < len(parts) else 0)
         touched = {(self.size + i) // 2 for i in range(low, high + 1)}
         while touched and max(touched) >= 1:
             for node in touched:
