@@ -1,27 +1,5 @@
 """The package for the Python workers of a cluster that does not have it installed."""
 
-from __future__ import annotations
+from gaugewell.session import ship
 
-import tempfile
-import weakref
-import zipfile
-from pathlib import Path
-
-from pyspark.sql import SparkSession
-
-import gaugewell
-
-_shipped: weakref.WeakSet = weakref.WeakSet()
-
-
-def ship(spark: SparkSession) -> SparkSession:
-    """Give the package's modules to the executors, once for each Spark context."""
-    context, root = spark.sparkContext, Path(gaugewell.__file__).parent
-    if context not in _shipped and root.is_dir():
-        archive = Path(tempfile.mkdtemp(prefix="gaugewell-code-")) / "gaugewell_code.zip"
-        with zipfile.ZipFile(archive, "w") as out:
-            for module in sorted(root.rglob("*.py")):
-                out.write(module, module.relative_to(root.parent))
-        context.addPyFile(str(archive))
-        _shipped.add(context)
-    return spark
+__all__ = ["ship"]

@@ -45,24 +45,61 @@ def test_toxic_documents_are_found_and_graded(llm, edge_cases, no_documents):
     assert kept.columns == edge_cases.columns and kept.count() == 12
 
 
+def plain_mix(blocks, shares):
+    """{(source, block): (slot, release, deadline)}, cycle by cycle, slot by slot."""
+    out, start, cycle = {}, 0, 0
+    while any(n > cycle * q for n, q in zip(blocks, shares)):
+        inside = [min(max(n - cycle * q, 0), q) for n, q in zip(blocks, shares)]
+        slots = sum(inside)
+        waiting = [(-(-(k + 1) * slots // m), i, k, k * slots // m) for i, m in enumerate(inside) for k in range(m)]
+        for slot in range(slots):
+            chosen = min(w for w in waiting if w[3] <= slot)
+            waiting.remove(chosen)
+            deadline, i, k, release = chosen
+            out[i, cycle * shares[i] + k] = (start + slot, start + release, start + deadline)
+        start, cycle = start + slots, cycle + 1
+    return out
+
+
+@pytest.mark.parametrize("shipped", [dict(), dict(shipped_sources=0), dict(shipped_entries=0)])
+def test_blocks_have_the_places_of_a_plain_scheduler(llm, shipped):
+    draw = random.Random(5)
+    for case in range(2):
+        names = [None, *(f"s{i}" for i in range(draw.randint(3, 9)))]
+        shares = {n: draw.randint(1, 5) for n in names if n != "s1"}
+        sizes = {n: draw.choice([1, 7, 40, 200]) for n in names}
+        docs = llm.createDataFrame([(i, n, "x") for n in names for i in range(sizes[n])], "doc_id long, source string, mix_block string").repartition(3)
+        found = mixing.mix_sources(docs, shares, block_documents=4, **shipped).collect()
+        order = sorted(names, key=lambda n: (n is None, n or ""))
+        expected = plain_mix([-(-sizes[n] // 4) for n in order], [shares.get(n, 1) for n in order])
+        by_block = {}
+        for r in found:
+            by_block.setdefault((r.source, r.mix_block, r.mix_release, r.mix_deadline), []).append(r.mix_position)
+        assert sorted((order.index(s), *p) for s, *p in by_block) == sorted((i, *p) for (i, _), p in expected.items())
+        assert all(min(p) == k[1] * 4 and len(set(p)) == len(p) and max(p) < k[1] * 4 + 4 for k, p in by_block.items())
+        assert len(found) == sum(sizes.values())
+
+
 def test_every_prefix_is_within_one_block_of_its_weights():
     draw = random.Random(5)
-    for _ in range(150):
+    for _ in range(60):
         shares = [draw.randint(1, 9) for _ in range(draw.randint(1, 8))]
-        blocks = [draw.randint(0, 60) for _ in shares]
-        schedule, at = mixing.Schedule(blocks, shares), {}
-        for source, n in enumerate(blocks):
-            if n:
-                slot, release, deadline = schedule.places(mixing.np.full(n, source), mixing.np.arange(n))
-                assert ((release <= slot) & (slot < deadline)).all()
-                at.update((s, source) for s in slot.tolist())
-        assert sorted(at) == list(range(sum(blocks)))
+        slots = mixing.cycle(shares)
+        assert [slot for _, _, slot, _, _ in slots] == list(range(sum(shares))) and all(release <= slot < deadline for _, _, slot, release, deadline in slots)
         count = [0] * len(shares)
-        for t in range(min(n // s for n, s in zip(blocks, shares)) * sum(shares)):
-            count[at[t]] += 1
+        for t, (source, *_) in enumerate(slots):
+            count[source] += 1
             assert all(abs(c - (t + 1) * s / sum(shares)) < 1 for c, s in zip(count, shares))
 
 
+def test_more_sources_than_tasks_are_given(llm):
+    """Some thousand sources of differing sizes, each with a share of its own: nothing is refused."""
+    docs = llm.range(9000).selectExpr("id as doc_id", "concat('s', cast(pow(id, 0.9) as int)) as source")
+    found = mixing.mix_sources(docs, {"s1": 3}, block_documents=1, shipped_sources=100)
+    rows = found.collect()
+    assert sorted(r.mix_position for r in rows) == list(range(9000)) and all(r.mix_release <= r.mix_block < r.mix_deadline for r in rows)
+
+
 def test_every_document_has_one_place(documents, edge_cases, no_documents):
     docs = documents([(i, f"text {i}", "big" if i % 3 else f"s{i % 4}") for i in range(3000)])
     rows = mixing.mix_sources(docs, {"big": 2}, block_documents=8).collect()

@@ -79,6 +79,37 @@ def test_repeats_are_those_of_all_windows(documents, vocabulary, window):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in rows} == dict(enumerate(expected))
 
 
+def thue_morse(length):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(length))
+
+
+def test_words_of_equal_quick_hashes_are_told_apart(documents):
+    """Words that sums weighted by powers of any odd number modulo 2 ** 64 cannot tell apart."""
+    rest = " ".join(f"w{i}" for i in range(34))
+    texts = []
+    for length in (1024, 2048):
+        one = thue_morse(length)
+        texts += [f"{one} {rest}{length}", f"{one.translate(str.maketrans('ab', 'ba'))} {rest}{length}"]
+    rows = recompression.remove_repeats(documents(list(enumerate(texts)))).collect()
+    assert [r.n_removed for r in rows] == [0, 0, 0, 0]
+
+
+def test_windows_are_verified_by_their_words(documents, monkeypatch):
+    """With names that mean nothing, and many blocks that all hold one passage, the result is that of all windows."""
+    draw = random.Random(21)
+    common = " ".join(f"c{i}" for i in range(50))
+    texts = []
+    for i in range(150):
+        own = [" ".join(f"w{draw.randrange(3000)}" for _ in range(draw.randint(0, 120))) for _ in range(2)]
+        texts.append(f"{own[0]} {common} {own[1]}")
+    monkeypatch.setattr(recompression, "BLOCK_BYTES", 4000)
+    rows = recompression.remove_repeats(documents(list(enumerate(texts)))).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in rows} == dict(enumerate(plain_repeats(texts, 35)))
+    words = Words(*utf8(pa.array(["a  b\tc", "b c d", "", "c"])))
+    digests = recompression.window_digests(words, np.array([0, 1, 3]), 2)
+    assert [bytes(d.tobytes()) for d in digests] == [hashlib.blake2b(t, digest_size=16).digest() for t in (b"a b", b"b c", b"b c")]
+
+
 def test_repeats_of_edge_cases(edge_cases, no_documents):
     rows = recompression.remove_repeats(edge_cases).collect()
     assert len(rows) == 12
@@ -151,20 +182,10 @@ def edited_item(text, edits, draw):
 
 
 def plain_contamination(texts, items, share=decontamination.EDIT_SHARE):
-    name = lambda t: decontamination.names_of(*utf8(pa.array([t or ""])))[0]
-    out = []
-    for text in texts:
-        words, found = name(text), set()
-        for number, item in enumerate(items):
-            own = name(item)
-            size, allowed = len(own), int(share * len(own))
-            if not size or len(words) < max(1, size - allowed):
-                continue
-            windows = (np.lib.stride_tricks.sliding_window_view(words, size) if len(words) >= size else words[None, :])
-            if (decontamination.edit_distances(np.broadcast_to(own, (len(windows), size)), windows) <= allowed).any():
-                found.add(number)
-        out.append(found)
-    return out
+    """The items of each text by the distance to its nearest passage of any length."""
+    words = lambda t: re.findall(r"[^\x00-/:-@\[-`{-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    own = [words(i) for i in items]
+    return [{n for n, item in enumerate(own) if item and passage_distance(item, words(t)) <= int(share * len(item))} for t in texts]
 
 
 @pytest.mark.parametrize("block_bytes", [600, 8 << 20])
@@ -185,6 +206,8 @@ def test_contamination_is_found_up_to_edits(llm, documents, edge_cases, no_docum
     assert len(rows) == len(texts)
     missed = sum(len(expected[r.doc_id] - set(r.item_ids)) for r in rows)
     assert not any(set(r.item_ids) - expected[r.doc_id] for r in rows)
+    reached = decontamination.expected_recall(benchmark, block_bytes=block_bytes).collect()
+    assert {r.words for r in reached} == {len(i.split()) for i in items if i} and all(0.95 < r.recall <= 1 for r in reached)
     assert missed <= 0.01 * sum(map(len, expected)) and sum(map(len, expected)) > 50
     kept = decontamination.drop_contaminated(documents(list(enumerate(texts))), benchmark, block_bytes=block_bytes).collect()
     assert sorted(r.doc_id for r in kept) == sorted(r.doc_id for r in rows if not r.contaminated)
@@ -248,19 +271,92 @@ def test_items_without_id_are_searched(llm, documents, edge_cases, no_documents,
     assert decontamination.drop_contaminated(edge_cases, benchmark.limit(0)).count() == 12
 
 
+@pytest.mark.parametrize("block_bytes", [1, 8 << 20])
+def test_each_row_is_judged_alone(llm, documents, block_bytes):
+    """Rows of one id, of which some hold an item, whatever the number of blocks; ids may be texts."""
+    items = [("x", "one two three four five"), ("y", "six seven eight nine ten"), (None, "alpha beta gamma delta")]
+    benchmark = llm.createDataFrame(items, "item_id string, text string")
+    texts = [(1, "nothing here"), (1, "so one two three four five"), (1, "six seven eight nine ten one two three four five"), (None, "alpha beta gamma delta"), (None, None)]
+    docs = documents(texts)
+    rows = decontamination.contamination(docs, benchmark, block_bytes=block_bytes).collect()
+    assert sorted((str(r.doc_id), r.contaminated, r.n_items, tuple(r.item_ids)) for r in rows) == [
+        ("1", False, 0, ()), ("1", True, 1, ("x",)), ("1", True, 2, ("x", "y")), ("None", False, 0, ()), ("None", True, 1, (None,))]
+    kept = decontamination.drop_contaminated(docs, benchmark, block_bytes=block_bytes).collect()
+    assert sorted(str(r.text) for r in kept) == ["None", "nothing here"]
+    plan = decontamination.contamination(docs, benchmark, block_bytes=block_bytes)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Aggregate" not in plan
+
+
+ALL = (1 << 64) - 1
+
+
+def plain_mix(x):
+    x ^= x >> 33
+    x = x * 0xFF51AFD7ED558CCD & ALL
+    x ^= x >> 29
+    x = x * 0xC4CEB9FE1A85EC53 & ALL
+    return x ^ x >> 32
+
+
+def plain_weight(seed, i):
+    return plain_mix((i * 0x9E3779B97F4A7C15 + seed) & ALL) | 1
+
+
+def plain_sketch(text):
+    """The parse by its definition, symbol by symbol."""
+    lowest = lambda x: (x & -x).bit_length() - 1 if x else 0
+    symbols, kept, bits = list((text or "").encode()), set(), 8
+    for level in (1, 2, 3):
+        runs = []
+        for symbol in symbols:
+            if runs and runs[-1][0] == symbol:
+                runs[-1][1] += 1
+            else:
+                runs.append([symbol, 1])
+        labels, top = [], (1 << bits) - 1
+        for i, (symbol, _) in enumerate(runs):
+            place = lowest(symbol ^ (runs[i - 1][0] if i else ~symbol & top))
+            labels.append(2 * place + (symbol >> place & 1))
+        for _ in range(3):
+            tossed = []
+            for i, label in enumerate(labels):
+                place = lowest(label ^ (labels[i - 1] if i else ~label & 255))
+                tossed.append(2 * place + (label >> place & 1))
+            labels = tossed
+        names = [plain_mix((symbol + count * 0xD6E8FEB86659FD93) & ALL) for symbol, count in runs]
+        begins = [i for i in range(len(names)) if i == 0 or labels[i] > labels[i - 1] and (i + 1 == len(labels) or labels[i] >= labels[i + 1])]
+        symbols, bits = [], 64
+        for low, high in zip(begins, [*begins[1:], len(names)]):
+            total = sum(n * plain_weight(phrases._NAME, k) for k, n in enumerate(names[low:high]))
+            symbols.append(plain_mix((total + (high - low) * 0xA24BAED4963EE407) & ALL))
+        if level > 1:
+            kept |= {plain_mix((s + level) & ALL) >> 32 for s in symbols}
+    return sorted(kept)[:64]
+
+
+def plain_likeness(a, b):
+    both = sorted({*a, *b})[:64]
+    return sum(n in a and n in b for n in both) / len(both) if both else 1.0
+
+
+def plain_hex(sketch):
+    return "".join(f"{n:08x}" for n in sketch)
+
+
 def test_fingerprints_follow_the_content(documents, edge_cases, no_documents):
     draw = random.Random(6)
-    texts = [" ".join(f"w{draw.randrange(5000)}ü" for _ in range(draw.randint(0, 400))) for _ in range(80)] + [None, "", "a", "ab" * 500]
+    texts = [" ".join(f"w{draw.randrange(5000)}ü" for _ in range(draw.randint(0, 400))) for _ in range(80)] + [None, "", "a", "ab" * 500, "aaa" * 90, "\0\0x"]
     rows = phrases.edited_likeness(documents(list(enumerate(texts)))).collect()
     assert len(rows) == len(texts)
-    order = [t or "" for t in reversed(texts)]
+    sketches, order = [plain_sketch(t) for t in texts], [t or "" for t in reversed(texts)]
     for row in rows:
         text = texts[row.doc_id] or ""
         behind = order[(len(texts) - row.doc_id) % len(texts)]
         edited = text[:len(text) - len(text) // 2] + behind[:len(text) // 2]
         assert row.n_chars == len(text) and row.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert row.fingerprint == phrases._hex(phrases._sketch_texts([text])[0])
-        assert row.edited_fingerprint == phrases._hex(phrases._sketch_texts([edited])[0])
+        own, other = sketches[row.doc_id], plain_sketch(edited)
+        assert row.fingerprint == plain_hex(own) and row.edited_fingerprint == plain_hex(other)
+        assert row.near_edited == plain_likeness(own, other) and row.near_next == plain_likeness(own, plain_sketch(behind))
         if len(text) > 1000:
             assert row.near_edited > 0.1 > row.near_next
     edge = phrases.edited_likeness(edge_cases).collect()
@@ -269,6 +365,25 @@ def test_fingerprints_follow_the_content(documents, edge_cases, no_documents):
     assert phrases.edited_likeness(no_documents).count() == 0
     single = phrases.edited_likeness(documents([(3, "just one text of some length")])).collect()[0]
     assert single.near_next == 1.0
+    with pytest.raises(TypeError):
+        phrases.edited_likeness(edge_cases.withColumn("doc_id", edge_cases.text))
+
+
+def test_rows_of_one_id_are_dealt_to_many_tasks(llm, documents):
+    """A third of the rows without id, a third with one id; each row still meets exactly one next row."""
+    draw = random.Random(8)
+    texts = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {draw.randrange(40)} " * draw.randint(1, 4)) for i in range(900)]
+    docs = documents(texts)
+    cuts = phrases._cut_places(docs.selectExpr("coalesce(doc_id, -9223372036854775808) as key", "xxhash64(text) as order"), 16)
+    hot = Counter(cuts.keys.tolist())
+    assert hot[7] > 2 and hot[-(1 << 63)] > 2
+    rows = phrases.edited_likeness(docs).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(i for i, _ in texts)
+    prints = Counter((r.doc_id, r.fingerprint) for r in rows)
+    assert prints == Counter((i, plain_hex(plain_sketch(t))) for i, t in texts)
+    # the next texts are the texts of all rows, each once
+    by_print = {plain_hex(plain_sketch(t)): plain_sketch(t) for _, t in texts}
+    assert all(r.near_next in {plain_likeness(by_print[r.fingerprint], s) for s in by_print.values()} for r in rows)
 
 
 def test_equal_substrings_share_phrases():
@@ -296,11 +411,16 @@ def test_token_trees_count_like_the_tokenizer(documents, edge_cases, no_document
             tree.replace(start, end, new)
             text = text[:start] + new + text[end:]
             assert tree.count() == len(encode(text)) and tree.length() == len(text)
-    long = "the word " * 5000
-    tree = tokens.TokenTree(long, encode)
-    tree.encoded = 0
-    tree.replace(20_000, 20_005, "edit")
-    assert 0 < tree.encoded < 2000
+    units = ["the word ", "это русский текст ", "これは日本語の文章です。とても長い、", "这是一个很长的句子，没有空格。", "यह हिन्दी में है। ", "ภาษาไทยไม่มีช่องว่าง", "1234 5678.", "한국어 문장입니다. "]
+    for unit in units:
+        text = unit * 2000
+        tree = tokens.TokenTree(text, encode)
+        for start, end, new in ((8000, 8005, "edit"), (5000, 5000, unit * 900), (6000, 6001, "'s"), (9, 9000, "")):
+            tree.encoded = 0
+            tree.replace(start, end, new)
+            assert 0 < tree.encoded < 4 * tokens.LEAF_CHARACTERS + len(new) + 100 and max(map(len, tree.leaves)) < 3 * tokens.LEAF_CHARACTERS, unit
+            text = text[:start] + new + text[end:]
+            assert tree.count() == len(encode(text)) and tree.length() == len(text)
     from pyspark.sql import functions as F
     edit = lambda a, b, t: F.struct(F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end"), F.lit(t).alias("text"))
     edits = F.array(edit(2, 6, "new"), edit(4, 99, None), edit(None, 3, "x"))
