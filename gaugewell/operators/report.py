@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugewell.functions.quality import QUALITY_LEVELS, percent_text
 from gaugewell.operators.profile import TableProfile, schema_summary
 from gaugewell.operators.validate import HIGH_QUALITY_SCORE, bad_rows, data_columns
+from gaugewell.session import create_once
 
 TOP_PATTERNS = 10
 DETAIL_ROWS = 10
@@ -355,13 +358,32 @@ def processing_summary(
 # ------------------------------------------------------------------ trend
 
 
-def append_run(stats: DataFrame, history_path: str, started_at: Column | None = None) -> None:
-    """Add the statistics of a run to the history table."""
+HISTORY_SCHEMA = "run_id string, processing_start_time timestamp, total_records bigint, valid_records bigint, invalid_records bigint, success_rate double"
+
+
+def append_run(stats: DataFrame, history_path: str, started_at: Column | None = None, run_id: str | Column | None = None) -> int:
+    """Add the statistics of a run, or of some, to the history, once for each run id; the number of runs added.
+
+    A run is a row and a file of its own, which comes into being whole or not at all. Whoever adds a run
+    again, after a failure or at the same time, finds it there and adds nothing. Without an id every call adds new runs.
+    """
+    spark = stats.sparkSession
     started = started_at if started_at is not None else F.current_timestamp()
-    stats.select(
-        started.alias("processing_start_time"), "total_records", "valid_records",
-        "invalid_records", "success_rate",
-    ).write.mode("append").parquet(history_path)
+    given = F.uuid() if run_id is None else F.lit(run_id) if isinstance(run_id, str) else run_id.cast("string")
+    rows = stats.select(
+        given.alias("run_id"), started.cast("timestamp").alias("processing_start_time"), "total_records", "valid_records",
+        "invalid_records", "success_rate")
+    text = F.to_json(F.struct("*"), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+    found = rows.select("run_id", text.alias("text")).collect()  # a row for each run
+    if len({r["run_id"] for r in found}) < len(found):
+        raise ValueError("each run needs an id of its own")
+    names = [hashlib.sha256(r["run_id"].encode()).hexdigest() for r in found]
+    return sum(create_once(spark, f"{history_path.rstrip('/')}/{name}.json", r["text"]) for name, r in zip(names, found))
+
+
+def run_history(spark: SparkSession, history_path: str) -> DataFrame:
+    """The runs that were added."""
+    return spark.read.schema(HISTORY_SCHEMA).json(history_path)
 
 
 def quality_trend(history: DataFrame) -> DataFrame:

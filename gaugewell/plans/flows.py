@@ -52,6 +52,7 @@ def validate_file(
     quality_threshold: float = HIGH_QUALITY_SCORE,
     profile: TableProfile | None = None,
     history_path: str | None = None,
+    run_id: str | None = None,
     **read_options,
 ) -> dict:
     """File -> clean -> learn -> validate -> splits and reports."""
@@ -74,7 +75,7 @@ def validate_file(
         f"{out}/processing_summary.json",
     )
     if history_path:
-        append_run(run_statistics(validated), history_path)
+        append_run(run_statistics(validated), history_path, run_id=run_id)
     remove_path(spark, stored)
     return {
         "status": "success",

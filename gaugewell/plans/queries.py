@@ -34,7 +34,7 @@ from gaugewell.plans.views import View
 from gaugewell.session import configure, scratch_path
 from gaugewell.sources import files as S
 from gaugewell.sources.sinks import save, write_json_row, write_splits
-from gaugewell.sources.topics import FileTopic
+from gaugewell.sources.topics import FileTopic, LogTopic
 from gaugewell.streaming import ingest as I
 from gaugewell.streaming import payload as P
 
@@ -861,8 +861,9 @@ def _trend(spark, sf_dir):
     stats = runs.withColumn(
         "success_rate", R.success_rate(F.col("valid_records"), F.col("total_records"))
     )
-    R.append_run(stats, path, F.col("started"))
-    return _rounded(R.quality_trend(spark.read.parquet(path)), _ROUND_RATE)
+    for _ in range(2):  # the second time, as after a failure, adds nothing
+        R.append_run(stats, path, F.col("started"), run_id=F.date_format("started", "yyyy"))
+    return _rounded(R.quality_trend(R.run_history(spark, path)), _ROUND_RATE)
 
 
 # ------------------------------------------------------------------ sources and sinks
@@ -928,6 +929,50 @@ for _encoding, _found in (("UTF-8", "UTF-8"), ("ISO-8859-1", "ISO-8859-1")):
     )
 
 
+def _free_text(key, name):
+    """A field with line ends, quotes and separators in it, which depend on the key."""
+    return F.when(key % 3 == 0, F.concat_ws("\n", name, F.lit('said "no", twice'), F.lit(""), name)).when(key % 3 == 1, F.concat(F.lit('"'), name)).otherwise(name)
+
+
+_FREE_TEXT = """CASE c_custkey % 3 WHEN 0 THEN c_name || chr(10) || 'said "no", twice' || chr(10) || chr(10) || c_name
+WHEN 1 THEN '"' || c_name ELSE c_name END AS note"""
+
+
+def _quoted_file(spark: SparkSession, sf_dir: str, encoding: str, mark: str = "") -> str:
+    """A file with all customers, in quotes, whose notes go over lines."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    key = F.col("c_custkey")
+    line = F.concat_ws(",", key.cast("string"), quoted(_free_text(key, F.col("c_name"))), F.lit("é漢" if encoding.startswith("UTF-16") else "é"))
+    rows = read(spark, sf_dir, "customer").select(F.concat(line, F.lit("\r\n")).alias("line"), "c_custkey")
+    files = rows.groupBy(F.floor(F.col("c_custkey") / 20000).alias("n")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "line"))), lambda r: r["line"]), "").alias("lines"))
+    path = scratch_path(spark, "quoted") + ".csv"
+    text = F.concat(F.lit(mark + "key,note,mark\n"), "lines")
+    files.select(text).write.option("maxRecordsPerFile", 1).option("encoding", encoding).option("lineSep", "\n").text(path)
+    return path
+
+
+@query("read_csv_quoted_line_ends", f"SELECT c_custkey AS \"key\", {_FREE_TEXT}, 'é' AS mark FROM customer")
+def _quoted_lines(spark, sf_dir):
+    """Records over several lines, read by ranges."""
+    return S.load(spark, _quoted_file(spark, sf_dir, "UTF-8"))
+
+
+@query("read_csv_quoted_line_ends_iso_8859_1", f"SELECT c_custkey AS \"key\", {_FREE_TEXT}, 'é' AS mark FROM customer")
+def _quoted_lines_latin(spark, sf_dir):
+    path = scratch_path(spark, "latin") + ".csv"
+    whole = spark.read.option("lineSep", "\x00").text(_quoted_file(spark, sf_dir, "UTF-8"))
+    whole.select(F.encode("value", "ISO-8859-1").alias("b")).select(F.col("b").cast("string")).write.option("lineSep", "\n").text(path)
+    return S.load(spark, path)
+
+
+for _wide in ("UTF-16LE", "UTF-16BE"):
+    register(
+        f"read_csv_{_wide.lower().replace('-', '_')}",
+        lambda s, d, e=_wide: S.load(s, _quoted_file(s, d, e, "\ufeff")),
+        f"SELECT c_custkey AS \"key\", {_FREE_TEXT}, 'é漢' AS mark FROM customer",
+    )
+
+
 @query("infer_storage_types", """SELECT 'key' AS field, 'bigint' AS storage, count(*) AS rows FROM customer UNION ALL
 SELECT 'name', 'string', count(*) FROM customer UNION ALL SELECT 'nation', 'double', count(*) FROM customer UNION ALL
 SELECT 'balance', 'double', count(*) FROM customer UNION ALL SELECT 'even', 'boolean', count(*) FROM customer UNION ALL
@@ -991,6 +1036,35 @@ def _json_one_line(spark, sf_dir):
     return S.load(spark, path).select("p_partkey", "p_name")
 
 
+def _array_file(spark: SparkSession, sf_dir: str, broken: bool) -> str:
+    """Documents of up to 20,000 parts, each an array with an element on each line; some are no objects if asked for."""
+    element = F.to_json(F.struct("p_partkey", F.concat(F.lit('}],"{['), "p_name").alias("name"), F.struct(F.array("p_size").alias("sizes")).alias("more")))
+    if broken:
+        element = F.when(F.col("p_partkey") % 10 == 3, F.concat(F.lit('[{"key": '), F.col("p_partkey").cast("string"), F.lit("}]"))).otherwise(element)
+    rows = read(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 20000).alias("n"), element.alias("element"))
+    path = scratch_path(spark, "array") + ".json"
+    text = F.concat(F.lit("[\n "), F.array_join(F.collect_list("element"), ",\n "), F.lit("\n]"))
+    rows.groupBy("n").agg(text.alias("text")).select("text").write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+@query("read_json_large_array", "SELECT p_partkey, '}],\"{[' || p_name AS name, p_size AS size FROM part")
+def _json_large(spark, sf_dir):
+    """Arrays over many lines, cut into their elements by ranges."""
+    return S.load(spark, _array_file(spark, sf_dir, False)).select("p_partkey", "name", F.col("more.sizes")[0].cast("int").alias("size"))
+
+
+@query("json_array_rejects", "SELECT '[{\"key\": ' || CAST(p_partkey AS VARCHAR) || '}]' AS value FROM part WHERE p_partkey % 10 = 3")
+def _json_array_rejects(spark, sf_dir):
+    """Elements that are no objects come back as they are; the reader refuses the file."""
+    path = _array_file(spark, sf_dir, True)
+    try:
+        S.load(spark, path)
+    except ValueError:
+        return S.json_rejects(spark, path).select(F.btrim("value", F.lit(" \n")).alias("value"))
+    raise AssertionError("an array with elements that are no objects was read")
+
+
 @query("json_line_rejects", "SELECT '{\"key\": ' || CAST(p_partkey AS VARCHAR) || ',,}' AS value FROM part WHERE p_partkey % 10 = 3")
 def _json_rejects(spark, sf_dir):
     """Lines that are no JSON object come back as they are; the reader refuses the file."""
@@ -1231,6 +1305,79 @@ def _stream_cap(spark, sf_dir):
     return rows.agg(F.count(F.lit(1)).alias("validated"))
 
 
+def _log_topic(spark: SparkSession, sf_dir: str, parts: int = 4, **options) -> LogTopic:
+    """Events as messages in a topic of several partitions, written in several commits."""
+    topic = LogTopic(scratch_path(spark, "log-topic"), partitions=4, **options)
+    messages = _event_messages(spark, sf_dir)
+    for part in range(parts):
+        topic.write(messages.where(F.pmod(F.col("key").cast("bigint"), F.lit(parts)) == part), batch_id=f"part-{part}")
+    return topic
+
+
+@query("stream_cap_over_batches", f"""WITH decodable AS ({_DECODABLE})
+SELECT (SELECT count(*) FROM decodable) // 2 AS validated, (SELECT count(*) FROM decodable) // 2 AS counted, true AS stopped_before_the_end""")
+def _stream_cap_batches(spark, sf_dir):
+    """The cap is exact over several batches, and the stream does not read on."""
+    topic = _log_topic(spark, sf_dir)
+    total = P.well_formed(topic.read(spark)).count()
+    ingestion = I.Ingestion.fresh(spark)
+    for _ in range(2):  # the second run finds the ingestion full
+        I.run(topic.read_stream(spark), ingestion, profile=_EVENT_PROFILE, max_records=total // 2)
+    taken = ingestion.validated(spark).count() + (ingestion.rejected(spark).count())
+    row = (ingestion.validated(spark).count(), ingestion.statistics(spark).first()["total_records"], taken < topic.read(spark).count())
+    return spark.createDataFrame([row], "validated bigint, counted bigint, stopped_before_the_end boolean")
+
+
+@query("stream_running_statistics", f"""WITH {_EVENT_VERDICTS}, parts AS (SELECT unnest([0, 1, 2, 3]) AS part)
+SELECT part, count(*) AS total_records, count(*) FILTER (is_valid) AS valid_records, count(*) FILTER (NOT is_valid) AS invalid_records,
+  count(*) FILTER (is_valid AND level = 'excellent') AS excellent_quality, count(*) FILTER (is_valid AND level = 'good') AS good_quality,
+  round(count(*) FILTER (is_valid) * 100e0 / count(*), 6) AS success_rate
+FROM parts JOIN validated ON event_id % 4 <= part GROUP BY part""")
+def _stream_running(spark, sf_dir):
+    """Statistics after each of several runs of one ingestion; each run starts anew from what is stored."""
+    topic = LogTopic(scratch_path(spark, "log-topic"), partitions=4)
+    root, messages, found = scratch_path(spark, "ingestion"), _event_messages(spark, sf_dir), None
+    for part in range(4):
+        topic.write(messages.where(F.pmod(F.col("key").cast("bigint"), F.lit(4)) == part), batch_id=f"part-{part}")
+        ingestion = I.run(topic.read_stream(spark), I.Ingestion(root), profile=_EVENT_PROFILE)
+        # a row of a stored counter: taken now, as the next run replaces it
+        row = ingestion.statistics(spark).select("total_records", "valid_records", "invalid_records", "excellent_quality", "good_quality", "success_rate").first()
+        now = spark.createDataFrame([(part, *row)], "part int, total_records bigint, valid_records bigint, invalid_records bigint, excellent_quality bigint, good_quality bigint, success_rate double")
+        found = now if found is None else found.union(now)
+    return _rounded(found, _ROUND_RATE)
+
+
+@query("topic_offset_replay", """WITH numbered AS (SELECT event_id, user_id FROM events)
+SELECT event_id, CAST(user_id AS VARCHAR) AS "key" FROM numbered WHERE event_id % 3 = 1""")
+def _topic_offsets(spark, sf_dir):
+    """What lies between the end offsets before a commit and those after it is that commit, read again by offsets."""
+    topic = LogTopic(scratch_path(spark, "log-topic"), partitions=4)
+    messages, ends = P.encode(read(spark, sf_dir, "events").select("event_id", "user_id"), "user_id"), []
+    for part in range(3):
+        mine = F.pmod(F.get_json_object("value", "$.event_id").cast("bigint"), F.lit(3)) == part
+        topic.write(messages.where(mine), batch_id=f"part-{part}")
+        ends.append(topic.end_offsets())
+    rows = topic.read(spark, start=ends[0], end=ends[1])
+    return rows.select(F.get_json_object("value", "$.event_id").cast("bigint").alias("event_id"), "key")
+
+
+@query("topic_retried_write", """SELECT CAST(user_id AS VARCHAR) AS "key", count(*) AS messages, 1 AS partitions, true AS in_order FROM events GROUP BY user_id""")
+def _topic_retry(spark, sf_dir):
+    """A write that is tried again doubles nothing; a key is in one partition, its messages in the order they were written."""
+    topic = LogTopic(scratch_path(spark, "log-topic"), partitions=5)
+    events = read(spark, sf_dir, "events").repartitionByRange(4, "event_id").sortWithinPartitions("event_id")
+    messages = P.encode(events.select("event_id", "user_id"), "user_id")
+    for _ in range(3):
+        topic.write(messages, batch_id="all")
+    number = F.get_json_object("value", "$.event_id").cast("bigint")
+    # offsets of a key rise with its events if sorting by one sorts by the other
+    rows = topic.read(spark).groupBy("key").agg(
+        F.count(F.lit(1)).alias("messages"), F.count_distinct("partition").cast("int").alias("partitions"),
+        F.array_sort(F.collect_list(F.struct("offset", number.alias("n")))).alias("all"))
+    numbers = F.transform("all", lambda r: r["n"])
+    return rows.select("key", "messages", "partitions", (numbers == F.array_sort(numbers)).alias("in_order"))
+
+
 @query("stream_replay", f"SELECT count(*) AS first_run, count(*) AS second_run FROM ({_DECODABLE})")
 def _stream_replay(spark, sf_dir):
     """A fresh ingestion reads the topic from its start again."""

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 import weakref
 import zipfile
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 #: Folders of single-machine contexts that name none, and contexts whose workers have the package.
@@ -91,3 +93,34 @@ def remove_path(spark: SparkSession, path: str) -> None:
     """Remove what a run has written to a scratch path."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file with its whole text; False if it is there already, whoever else tries at the same time."""
+    jvm, target = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(target):
+        return False
+    draft = jvm.org.apache.hadoop.fs.Path(target.getParent(), f"_draft-{uuid.uuid4().hex}")
+    out = files.create(draft, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    try:
+        if files.getUri().getScheme() == "file":
+            # a link, as a rename could replace what came in between
+            os.link(draft.toUri().getPath(), target.toUri().getPath())
+            return True
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration())
+        context.rename(draft, target, spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+        return True
+    except FileExistsError:
+        return False
+    except Py4JJavaError:
+        if files.exists(target):
+            return False
+        raise
+    finally:
+        if files.exists(draft):
+            files.delete(draft, False)
