@@ -300,6 +300,13 @@ def value_frequencies(df: DataFrame, detectors: Detectors | None = None) -> Data
     )
 
 
+def cell_counts(df: DataFrame, detectors: Detectors) -> DataFrame:
+    """(ordinal, key, len, mask, cnt) per distinct value of each column, with whole texts as keys."""
+    bits = _Bits(detectors)
+    counted = cells(df).groupBy("ordinal", "whole", "real", "txt").agg(F.count(F.lit(1)).alias("cnt")).select("*", _rendered(df.schema).alias("key"))
+    return counted.select("ordinal", "key", F.length("key").alias("len"), bits.pack_cell(F.col("key"), df.schema).alias("mask"), "cnt")
+
+
 def _cell_hash() -> Column:
     return F.xxhash64("whole", "real", "txt")
 
@@ -307,8 +314,8 @@ def _cell_hash() -> Column:
 # ------------------------------------------------------------------ jobs
 
 
-def field_statistics(df: DataFrame, detectors: Detectors, samples: int) -> DataFrame:
-    """Weighted aggregates over the frequencies; one row per column."""
+def frequency_aggregates(detectors: Detectors) -> list[Column]:
+    """Counts, lengths and type shares from (key, len, mask, cnt) rows of distinct values."""
     bits = _Bits(detectors)
     mask, cnt, present = F.col("mask"), F.col("cnt"), F.col("key").isNotNull()
 
@@ -325,7 +332,12 @@ def field_statistics(df: DataFrame, detectors: Detectors, samples: int) -> DataF
         weight(bits.has(mask, bits.FLOAT_PARSES)).alias("hits_float_parses"),
         weight(bits.has(mask, "date") | bits.has(mask, "datetime")).alias("hits_any_date"),
     ]
-    aggregates += [weight(bits.has(mask, name)).alias(f"hits_{name}") for name in detectors.order]
+    return aggregates + [weight(bits.has(mask, name)).alias(f"hits_{name}") for name in detectors.order]
+
+
+def field_statistics(df: DataFrame, detectors: Detectors, samples: int) -> DataFrame:
+    """Weighted aggregates over the frequencies; one row per column."""
+    aggregates, present = frequency_aggregates(detectors), F.col("key").isNotNull()
     if samples:
         # The smallest hash of each bucket: fixed-width, so it stays a hash aggregate.
         for bucket in range(SAMPLE_BUCKETS):
@@ -415,7 +427,7 @@ def _detected_type(row, detectors: Detectors) -> str:
     return best if confident else "string"
 
 
-def _judge(row, name: str, detectors: Detectors) -> FieldProfile:
+def judge(row, name: str, detectors: Detectors) -> FieldProfile:
     """The profile of one column from its aggregate row."""
     total, nulls = row["total_values"], row["null_count"]
     filled = total - nulls
@@ -490,7 +502,7 @@ def learn_profile(
         return TableProfile([], detectors)
 
     rows = {r["ordinal"]: r for r in field_statistics(df, detectors, sample_values).collect()}
-    profiles = {i: _judge(row, names[i], detectors) for i, row in rows.items()}
+    profiles = {i: judge(row, names[i], detectors) for i, row in rows.items()}
 
     categorical = [p.field for p in profiles.values() if p.is_categorical]
     sampled, short = {}, []

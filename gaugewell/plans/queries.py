@@ -19,6 +19,7 @@ from gaugewell.operators import customer as M
 from gaugewell.operators import joblog as J
 from gaugewell.operators import report as R
 from gaugewell.operators import validate as V
+from gaugewell.operators.contract import Contract
 from gaugewell.operators.profile import (
     TableProfile,
     field_digest,
@@ -28,6 +29,7 @@ from gaugewell.operators.profile import (
     schema_summary,
     type_counts,
 )
+from gaugewell.operators.profile_state import ProfileState
 from gaugewell.plans import oracles as O
 from gaugewell.plans import views as W
 from gaugewell.plans.views import View
@@ -37,6 +39,7 @@ from gaugewell.sources.sinks import save, write_json_row, write_splits
 from gaugewell.sources.topics import FileTopic, LogTopic
 from gaugewell.streaming import ingest as I
 from gaugewell.streaming import payload as P
+from gaugewell.streaming.keys import KeyWatch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -141,6 +144,20 @@ for _name, _view in W.TABLES.items():
     register(f"profile_{_name}", partial(_profile, _view), O.profile(_view))
 
 
+def _in_increments(view: View, key: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned in three increments, one of them tried twice; the last only reads its own rows and the stored counts."""
+    state, frame = ProfileState(scratch_path(spark, "profile-state")), view.frame(spark, sf_dir)
+    for part in (0, 1, 1, 2):
+        state.add(frame.where(F.pmod(F.xxhash64(key), F.lit(3)) == part), f"day {part}")
+    state.compact(spark, most=2)
+    found = state.profile(spark).to_frame(spark)
+    return _rounded(found.drop("sample_values", "categories", "category_frequencies", "rules"), PROFILE_DIGITS)
+
+
+register("profile_orders_in_increments", partial(_in_increments, W.TABLES["orders"], "o_orderkey"), O.profile(W.TABLES["orders"]))
+register("profile_customer_in_increments", partial(_in_increments, W.TABLES["customer"], "c_custkey"), O.profile(W.TABLES["customer"]))
+
+
 def _categories(view: View, spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = profile_frame(view.frame(spark, sf_dir), sample_values=0)
     return frame.select(
@@ -1378,6 +1395,18 @@ def _topic_retry(spark, sf_dir):
     return rows.select("key", "messages", "partitions", (numbers == F.array_sort(numbers)).alias("in_order"))
 
 
+@query("stream_repeated_keys", """SELECT CAST(event_id AS VARCHAR) AS "key", 2 AS copies FROM events WHERE event_id % 4 = 1""")
+def _stream_keys(spark, sf_dir):
+    """Keys that come again in a later batch, also one that another run of the stream has read."""
+    topic, watch = LogTopic(scratch_path(spark, "log-topic"), partitions=4), KeyWatch.fresh(spark)
+    messages, number = P.encode(read(spark, sf_dir, "events").select("event_id"), "event_id"), F.col("key").cast("bigint") % 4
+    contract = Contract(primary_key="key", fields={})
+    for name, part in (("first", number < 2), ("second", number == 2), ("third", (number == 1) | (number == 3))):
+        topic.write(messages.where(part), batch_id=name)
+        watch.run(topic.read_stream(spark), contract)
+    return watch.repeated(spark).select("key", F.col("copies").cast("int").alias("copies"))
+
+
 @query("stream_replay", f"SELECT count(*) AS first_run, count(*) AS second_run FROM ({_DECODABLE})")
 def _stream_replay(spark, sf_dir):
     """A fresh ingestion reads the topic from its start again."""
