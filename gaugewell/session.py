@@ -7,6 +7,8 @@ import tempfile
 import uuid
 import weakref
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from py4j.protocol import Py4JJavaError
@@ -15,6 +17,8 @@ from pyspark.sql import SparkSession
 #: Folders of single-machine contexts that name none, and contexts whose workers have the package.
 _own_roots: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 _shipped: weakref.WeakSet = weakref.WeakSet()
+#: Paths made inside each open scope.
+_scopes: list[list[str]] = []
 
 # Runtime settings the operators rely on; everything else is the cluster's.
 RUNTIME_SETTINGS = {
@@ -72,8 +76,24 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path in the shared folder. What is written there is needed as long as results that read it."""
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    for made in _scopes:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove in the end what was written to scratch paths made inside; results must be stored elsewhere by then."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes[:] = [s for s in _scopes if s is not made]
+        for path in made:
+            remove_path(spark, path)
 
 
 def ship(spark: SparkSession) -> SparkSession:

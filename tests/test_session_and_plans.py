@@ -1,6 +1,10 @@
 """Scratch folders, and the shape of plans that must not grow back."""
 
+import os
+import subprocess
+import sys
 import time
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
@@ -48,3 +52,34 @@ def test_samples_and_ties_do_not_depend_on_length(spark):
     texts = sorted({r[0] for r in rows})
     assert found["long"].categories == texts[:20]
     assert len(found["few"].sample_values) == 10
+
+
+BARE = """
+import sys
+sys.path.insert(0, {root!r})
+from gaugewell.plans.flows import validate_file
+from gaugewell.session import local_session, scratch_path, scratch_root
+from gaugewell.sources.topics import FileTopic
+from gaugewell.streaming import ingest
+from gaugewell.streaming.payload import encode
+
+spark = local_session("2")
+assert spark.conf.get("spark.checkpoint.dir", None) is None
+open({file!r}, "w").write("id,name\\n" + "".join(f"{{i}},n{{i}}\\n" for i in range(40)))
+found = validate_file(spark, {file!r}, {out!r})
+assert found["total_records"] == 40, found
+topic = FileTopic(scratch_path(spark, "topic"))
+topic.write(encode(spark.range(10).selectExpr("id", "'n' as name")))
+assert ingest.run(topic.read_stream(spark), ingest.Ingestion.fresh(spark)).statistics(spark).first().total_records == 10
+assert scratch_root(spark) == scratch_root(spark)
+print("done")
+"""
+
+
+def test_a_plain_local_session_needs_no_settings(tmp_path):
+    """Without spark.checkpoint.dir, and without the settings that this machine may have."""
+    code = BARE.format(root=str(Path(__file__).resolve().parents[1]), file=str(tmp_path / "t.csv"), out=str(tmp_path / "out"))
+    (tmp_path / "conf").mkdir()
+    ran = subprocess.run([sys.executable, "-c", code], env={**os.environ, "SPARK_CONF_DIR": str(tmp_path / "conf")}, cwd=tmp_path,
+                         capture_output=True, text=True, timeout=300)
+    assert ran.stdout.strip().endswith("done"), ran.stderr[-3000:]
