@@ -303,6 +303,8 @@ def near_vectors(
     distinct.select("key", "least", "weight").join(degrees, "key", "left").join(classes, "key", "left").select(
         "key", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"),
     ).write.parquet(f"{scratch}/named")
+    for done in ("distinct", "links", "classes"):
+        remove_path(spark, f"{scratch}/{done}")
     found = rows.select("id", "key").join(spark.read.parquet(f"{scratch}/named"), "key", "left")
     component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return found.select(

@@ -18,12 +18,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugewell.llm.components import components
 from gaugewell.llm.texts import LOWER, Words, annotate, pieces, text_or_empty, utf8
-from gaugewell.session import scratch_path
+from gaugewell.session import remove_path, scratch_path
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -135,6 +135,15 @@ def _edges(distinct: DataFrame, radius: int, tile: int) -> DataFrame:
         _compare(radius), "a long, b long")
 
 
+def _classes(distinct: DataFrame, radius: int, tile: int) -> DataFrame:
+    """(fp, least, root, class_least) of distinct fingerprints with the least of their rows, and that of their class."""
+    linked = components(_edges(distinct, radius, tile)).withColumnRenamed("node", "fp")
+    named = distinct.join(linked, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("least").alias("class_least"))
+    # a struct as key: see components
+    return named.join(least.select(F.struct("root").alias("k"), "class_least"), F.struct(named["root"]) == F.col("k")).drop("k")
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: int = RADIUS, tile: int = TILE,
     id_col: str = "doc_id", text_col: str = "text",
@@ -150,17 +159,12 @@ def near_duplicates(
     )
     marked = spark.read.parquet(f"{scratch}/fingerprints")
     distinct = marked.groupBy("fp").agg(F.min("id").alias("least"))
-    linked = components(_edges(distinct, radius, tile)).withColumnRenamed("node", "fp")
-    linked = linked.join(distinct, "fp")
-    classes = linked.groupBy("root").agg(F.min("least").alias("class_least"))
-    linked = linked.join(classes, "root").select("fp", "root", "class_least")
-    named = distinct.join(linked, "fp", "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least"))
-        .otherwise(F.col("class_least")).alias("component_id"))
+    distinct.write.parquet(f"{scratch}/distinct")
     # stored, so that the join below is between two plain shuffles and a fingerprint of many copies can be split
-    named.write.parquet(f"{scratch}/classes")
+    _classes(spark.read.parquet(f"{scratch}/distinct"), radius, tile).write.parquet(f"{scratch}/classes")
+    remove_path(spark, f"{scratch}/distinct")
     return marked.join(spark.read.parquet(f"{scratch}/classes"), "fp").select(
-        F.col("id").alias(id_col), _digits("fp").alias("fingerprint"), "component_id",
+        F.col("id").alias(id_col), _digits("fp").alias("fingerprint"), F.col("class_least").alias("component_id"),
         _digits("root").alias("class_fingerprint"))
 
 
@@ -172,20 +176,18 @@ def drop_near_duplicates(
     docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: int = RADIUS, tile: int = TILE,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """The rows of ``docs``, columns unchanged, with one document of each class: that of the least id."""
-    found = near_duplicates(docs, shingle, radius, tile, id_col, text_col)
-    found = found.select(F.col(id_col).alias("id"), "fingerprint", "class_fingerprint")
-    # the least id, any before none; a row of it with the least fingerprint
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fingerprint")).alias("first")
-    stays = found.groupBy("class_fingerprint").agg(first).select(
-        F.col("first.id").alias("__id"), F.col("first.fingerprint").alias("__kept"))
+    """The rows of ``docs``, columns unchanged, with one document of each class: that of the least id, any before none.
+
+    Rows are stored once, with their fingerprints and numbers of their own. Fingerprints know their least
+    row, classes their least fingerprint's, and what stays is found by its number; no join meets a fingerprint of many rows.
+    """
+    spark, scratch = docs.sparkSession, scratch_path(docs.sparkSession, "simhash")
     rows, given = annotate(
         docs, lambda data, offsets: {"__fp": fingerprints(data, offsets, shingle).view(np.int64)}, "__fp long", text_col)
-    key = F.col(f"__c{docs.columns.index(id_col)}")
-    kept = rows.withColumn("__fp", _digits("__fp")).join(
-        stays, key.eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__kept")), "left_semi")
-    if found.groupBy("id", "fingerprint").count().where("count > 1").limit(1).count():  # rows of one id and fingerprint
-        names = [c for c in kept.columns if c.startswith("__c")]
-        kept = kept.withColumn("__copy", F.row_number().over(
-            Window.partitionBy(key, "__fp").orderBy(F.xxhash64(*names)))).where("__copy = 1")
-    return kept.select(*given)
+    rows.withColumn("__row", F.monotonically_increasing_id()).write.parquet(f"{scratch}/rows")
+    rows = spark.read.parquet(f"{scratch}/rows")
+    id_ = F.col(f"__c{docs.columns.index(id_col)}")
+    least = F.min(F.struct(id_.isNull().alias("none"), id_.alias("id"), F.col("__fp").alias("fp"), F.col("__row").alias("row"))).alias("least")
+    rows.groupBy(F.col("__fp").alias("fp")).agg(least).write.parquet(f"{scratch}/distinct")
+    stays = _classes(spark.read.parquet(f"{scratch}/distinct"), radius, tile).where("least = class_least")
+    return rows.join(stays.select(F.col("least.row").alias("__row")), "__row", "left_semi").select(*given)

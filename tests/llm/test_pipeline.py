@@ -1,10 +1,12 @@
 import importlib
 import re
+from pathlib import Path
 
 from gaugewell.llm import secrets
 from gaugewell.llm.queries import QUERIES
 from gaugewell.llm.simhash import near_duplicates
 from gaugewell.llm.texts import table
+from gaugewell.session import scratch_root
 
 corpus_pipeline = importlib.import_module("corpus_pipeline")
 TABLES = "/root/testdata/sf0.01"
@@ -52,5 +54,32 @@ def test_stages_take_effect_and_keep_clean_documents(llm, tmp_path):
     assert after.select("mix_position").distinct().count() == after.count()
 
 
+def test_the_whole_run_on_edge_cases(llm, tmp_path, edge_cases, no_documents, documents):
+    """Null, empty, very long and repeated rows and columns of clashing names, and empty tables, pass through all stages."""
+    labels = llm.createDataFrame([(i, 1, 0) for i in range(9)] + [(None, None, None), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    benchmark = llm.createDataFrame([(1, "word1 word2 word3 word4 word5"), (None, None)], "item_id long, text string")
+    columns = edge_cases.columns
+    for number, (docs, bench, marks) in enumerate([
+            (edge_cases, benchmark, labels), (edge_cases, benchmark.limit(0), labels.limit(0)), (no_documents, benchmark, labels),
+            (no_documents, benchmark.limit(0), labels.limit(0))]):
+        folder = f"{tmp_path}/tables{number}"
+        for name, frame in (("documents", docs), ("benchmark", bench), ("labels", marks)):
+            frame.write.parquet(f"{folder}/{name}.parquet")
+        before = set(Path(scratch_root(llm).removeprefix("file:")).iterdir()) if Path(scratch_root(llm).removeprefix("file:")).exists() else set()
+        found = corpus_pipeline.run(llm, folder)
+        kept = found.collect()
+        if number < 2:
+            assert set(found.columns) == {*columns, "mix_block", "mix_position", "mix_release", "mix_deadline"}
+            # of equal texts one stays: the least id; no text, an empty one and white space alone are alike
+            expected = [0, 1, 6, 7, 8, 9] if number == 0 else [0, 1, 4, 6, 7, 8, 9]
+            assert sorted(r.doc_id or 0 for r in kept) == expected
+            assert len({r.mix_position for r in kept}) == len(kept)
+        else:
+            assert kept == []
+        left = {p.name.rsplit("-", 1)[0] for p in set(Path(scratch_root(llm).removeprefix("file:")).iterdir()) - before}
+        assert left <= {"pipeline", "mixing"}, left
+        assert len(list(next(p for p in set(Path(scratch_root(llm).removeprefix("file:")).iterdir()) - before if p.name.startswith("pipeline")).iterdir())) == 1
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 14))

@@ -8,8 +8,9 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from gaugewell.llm import decontamination, phrases, recompression, secrets, simhash, tokens
+from gaugewell.llm import components, decontamination, phrases, recompression, secrets, simhash, tokens
 from gaugewell.llm.texts import Words, utf8
+from gaugewell.session import configure
 
 ATOMS = ["password", "passwd", "secret", "Token", "api_key", "APIKEY", '"', "'", " ", "  ", ":", "=", "abcdef12", "a",
          "AKIA", "AKIA1234567890ABCD", "0123456789abcdef" * 2, "deadbeef", "é", "\n", ",", "ghp_" + "A1b2" * 9,
@@ -160,6 +161,27 @@ def test_classes_of_edge_cases(edge_cases, no_documents):
     assert simhash.near_duplicates(no_documents).count() == simhash.drop_near_duplicates(no_documents).count() == 0
 
 
+def test_a_node_of_many_edges_is_split(llm, tmp_path):
+    """All edges share one centre; the joins of a round are between two plain shuffles, so that adaptive execution splits it."""
+    llm.range(1, 60_000).selectExpr("id as a", "0L as b").write.parquet(f"{tmp_path}/edges")
+    edges = llm.read.parquet(f"{tmp_path}/edges")
+    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for name, value in settings.items():
+        llm.conf.set(name, value)
+    try:
+        star = components._large_star(edges)
+        assert star.count() == 59_999
+        star.collect()
+        plan = star._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in plan, plan
+    finally:
+        for name in settings:
+            llm.conf.unset(name)
+        configure(llm)
+
+
 def test_links_in_a_tile_are_stars_not_pairs():
     near = np.array([1 << b for b in range(40)], np.uint64)
     member, centre = simhash.links(near, None, 4)
