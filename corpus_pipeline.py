@@ -16,7 +16,7 @@ from gaugewell.llm.shipping import ship
 from gaugewell.llm.simhash import drop_near_duplicates
 from gaugewell.llm.texts import table
 from gaugewell.llm.toxicity import drop_toxic
-from gaugewell.session import scratch_path
+from gaugewell.session import remove_path, scratch_path, scratch_scope
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,11 +62,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; what one keeps is written and read again by the next."""
+    """All stages over the documents; what one keeps is written and read again by the next.
+
+    What a stage has written for itself goes when its result is stored, and a result when the next one is. In the
+    end only what the last stage reads is left.
+    """
     scratch, docs = scratch_path(spark, "pipeline"), table(spark, sf_dir, "documents")
-    for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number + 1 < len(STAGES):
-            docs.write.parquet(f"{scratch}/{number}")
-            docs = spark.read.parquet(f"{scratch}/{number}")
-    return docs
+    for number, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch_scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{scratch}/{number}")
+        if number:
+            remove_path(spark, f"{scratch}/{number - 1}")
+        docs = spark.read.parquet(f"{scratch}/{number}")
+    return STAGES[-1][1](spark, docs, sf_dir)
