@@ -20,6 +20,7 @@ from gaugewell.operators import joblog as J
 from gaugewell.operators import report as R
 from gaugewell.operators import validate as V
 from gaugewell.operators.contract import Contract
+from gaugewell.operators.leading import leading_values
 from gaugewell.operators.profile import (
     TableProfile,
     field_digest,
@@ -158,6 +159,24 @@ register("profile_orders_in_increments", partial(_in_increments, W.TABLES["order
 register("profile_customer_in_increments", partial(_in_increments, W.TABLES["customer"], "c_custkey"), O.profile(W.TABLES["customer"]))
 
 
+@query("leading_words", """WITH words AS (SELECT unnest(string_split("text", ' ')) AS value FROM documents),
+counted AS (SELECT value, count(*) AS frequency FROM words GROUP BY value)
+SELECT 'word' AS field, row_number() OVER (ORDER BY frequency DESC, value) AS position, value, frequency FROM counted QUALIFY position <= 20""")
+def _leading_words(spark, sf_dir):
+    """The most frequent of very many values, by summaries of the tasks and an exact recount."""
+    words = read(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("word"))
+    return leading_values(words, capacity=2000).frame
+
+
+@query("leading_values_lineitem", """WITH cells AS (SELECT 'l_partkey' AS field, CAST(l_partkey AS VARCHAR) AS value FROM lineitem
+  UNION ALL SELECT 'l_shipdate', CAST(CAST(l_shipdate AS DATE) AS VARCHAR) FROM lineitem),
+counted AS (SELECT field, value, count(*) AS frequency FROM cells GROUP BY ALL)
+SELECT field, row_number() OVER (PARTITION BY field ORDER BY frequency DESC, value) AS position, value, frequency FROM counted QUALIFY position <= 20""")
+def _leading_lineitem(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_shipdate").cast("date").alias("l_shipdate"))
+    return leading_values(lines, capacity=300).frame
+
+
 def _categories(view: View, spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = profile_frame(view.frame(spark, sf_dir), sample_values=0)
     return frame.select(
