@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugewell.llm.texts import LOWER, NO_LETTER, Words, mix, pieces, weights, text_or_empty, utf8
+from gaugewell.session import ship
 
 #: Edits allowed per word of the item: a similarity of 0.8.
 EDIT_SHARE = 0.2
@@ -333,7 +334,7 @@ def _search(blocks: list[Broadcast], kind: pa.DataType):
 def _judged(docs: DataFrame, columns: list[str], text_col: str, benchmark: DataFrame, item_col: str, item_text_col: str,
             block_bytes: int, *options) -> DataFrame:
     """``items`` of each row, and the asked columns as c0, c1, ...: one scan, whatever the number of blocks."""
-    spark, blocks, first = docs.sparkSession, [], 0
+    spark, blocks, first = ship(docs.sparkSession), [], 0
     for ids, texts in _blocks(benchmark, item_col, item_text_col, block_bytes):
         # the driver keeps a handle
         blocks.append(spark.sparkContext.broadcast((Items(ids, texts, *options), first)))

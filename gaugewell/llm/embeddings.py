@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewell.llm.components import components
-from gaugewell.session import remove_path, scratch_path
+from gaugewell.session import remove_path, scratch_path, ship
 
 THRESHOLD = 0.9
 TILE_BYTES = 32 << 20
@@ -258,7 +258,7 @@ def near_vectors(
     id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """Per vector: id, n_links (rows linked directly), component_id (least id that links reach), kept (has that id)."""
-    spark, scratch = table.sparkSession, scratch_path(table.sparkSession, "embeddings")
+    spark, scratch = ship(table.sparkSession), scratch_path(table.sparkSession, "embeddings")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_type = table.schema[id_col].dataType
     given = table.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))

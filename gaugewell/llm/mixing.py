@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugewell.session import remove_path, scratch_path
+from gaugewell.session import remove_path, scratch_path, ship
 
 BLOCK_DOCUMENTS = 16
 #: Documents that one task numbers together, about.
@@ -133,7 +133,7 @@ def mix_sources(
     shares = dict(shares or {})
     if default_share < 1 or any(s < 1 for s in shares.values()):
         raise ValueError("shares are positive whole numbers")
-    spark, scratch = docs.sparkSession, scratch_path(docs.sparkSession, "mixing")
+    spark, scratch = ship(docs.sparkSession), scratch_path(docs.sparkSession, "mixing")
     names = docs.columns
     inner = docs.toDF(*(f"__c{i}" for i in range(len(names))))
     id_, source = F.col(f"__c{names.index(id_col)}"), F.col(f"__c{names.index(source_col)}").cast("string")

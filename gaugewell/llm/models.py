@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewell.llm.texts import mix, pieces, text_or_empty, utf8
+from gaugewell.session import ship
 
 BUCKET_BITS = 18
 #: Labelled rows that a model is fitted on, at most; everything else covers all rows.
@@ -50,6 +51,7 @@ Features = Callable[[np.ndarray, np.ndarray], Sparse]
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str, text_col: str) -> DataFrame:
     """(text, label) of at most ``rows`` labelled documents, drawn by a hash of the id."""
+    ship(docs.sparkSession)
     drawn = (
         labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).dropna()
         .orderBy(F.xxhash64("id"), "id", "label").limit(rows)
@@ -114,6 +116,7 @@ def sigmoid(x):
 def scored(docs: DataFrame, features: Features, values: Callable[[Sparse], dict[str, np.ndarray]], schema: str,
            id_col: str, text_col: str) -> DataFrame:
     """The id and the computed columns for every document."""
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

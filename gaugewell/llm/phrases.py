@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugewell.llm.texts import mix, pieces, weights, text_or_empty, utf8
+from gaugewell.session import ship
 
 LEVELS = (2, 3)  # whose phrases make the fingerprint; about 10 and 30 bytes long
 KEPT = 64
@@ -125,6 +126,7 @@ def _sketch_texts(texts: list[str]) -> list[np.ndarray]:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, fingerprint (hexadecimal)."""
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +240,7 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
         raise TypeError("ids must be whole numbers")
-    spark = docs.sparkSession
+    spark = ship(docs.sparkSession)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     last = -(1 << 63)
     texts = docs.select(

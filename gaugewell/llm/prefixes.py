@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugewell.session import remove_path, scratch_path
+from gaugewell.session import remove_path, scratch_path, ship
 
 GROUP = 5
 CUTS = 9
@@ -326,7 +326,7 @@ def _subtrees(shared: DataFrame, scratch: str) -> DataFrame:
 
 def prefix_trie(conversations: DataFrame, shard_turns: int = SHARD_TURNS, group: int = GROUP, cuts: int = CUTS) -> DataFrame:
     """Per node of the rebuilt conversations' trie: the columns of ``NODE``."""
-    spark, scratch = conversations.sparkSession, scratch_path(conversations.sparkSession, "prefixes")
+    spark, scratch = ship(conversations.sparkSession), scratch_path(conversations.sparkSession, "prefixes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = rebuilt(conversations, scratch, group, cuts)
     dealt = found.repartitionByRange(parts, "turns", "conv_id").sortWithinPartitions("turns", "conv_id")

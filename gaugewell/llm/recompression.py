@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from gaugewell.llm.texts import Words, mix, pieces, text_or_empty
-from gaugewell.session import remove_path, scratch_path
+from gaugewell.session import remove_path, scratch_path, ship
 
 WINDOW = 35
 ROUNDS = 5
@@ -302,7 +302,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
     A word goes if a window of ``window`` words that covers it also begins elsewhere.
     """
-    spark = docs.sparkSession
+    spark = ship(docs.sparkSession)
     texts = docs.select(F.col(id_col), text_or_empty(F.col(text_col)).alias("text"))
     texts = texts.withColumn("digest", F.sha2("text", 256))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from gaugewell.llm.automaton import Automaton
 from gaugewell.llm.texts import annotate, pieces, text_or_empty, utf8
+from gaugewell.session import ship
 
 
 class Rule(NamedTuple):
@@ -184,6 +185,7 @@ def _find(scan: Scanner):
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, findings array<struct<kind, start, end>> by start, then kind as listed."""
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return (
         docs.select(F.col(id_col).alias("id"), text_or_empty(F.col(text_col)).alias("text"))

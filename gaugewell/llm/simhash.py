@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from gaugewell.llm.components import components
 from gaugewell.llm.texts import LOWER, Words, annotate, pieces, text_or_empty, utf8
-from gaugewell.session import remove_path, scratch_path
+from gaugewell.session import remove_path, scratch_path, ship
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -150,7 +150,7 @@ def near_duplicates(
 ) -> DataFrame:
     """Per document: id, fingerprint (16 hex digits), component_id (least id of its class),
     class_fingerprint (one fingerprint that stands for the class)."""
-    spark, scratch = docs.sparkSession, scratch_path(docs.sparkSession, "simhash")
+    spark, scratch = ship(docs.sparkSession), scratch_path(docs.sparkSession, "simhash")
     id_type = docs.schema[id_col].dataType
     (
         docs.select(F.col(id_col).alias("id"), text_or_empty(F.col(text_col)).alias("text"))
@@ -181,7 +181,7 @@ def drop_near_duplicates(
     Rows are stored once, with their fingerprints and numbers of their own. Fingerprints know their least
     row, classes their least fingerprint's, and what stays is found by its number; no join meets a fingerprint of many rows.
     """
-    spark, scratch = docs.sparkSession, scratch_path(docs.sparkSession, "simhash")
+    spark, scratch = ship(docs.sparkSession), scratch_path(docs.sparkSession, "simhash")
     rows, given = annotate(
         docs, lambda data, offsets: {"__fp": fingerprints(data, offsets, shingle).view(np.int64)}, "__fp long", text_col)
     rows.withColumn("__row", F.monotonically_increasing_id()).write.parquet(f"{scratch}/rows")

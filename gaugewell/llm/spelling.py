@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewell.llm.texts import LOWER, pieces, text_or_empty, utf8
-from gaugewell.session import remove_path, scratch_path
+from gaugewell.session import remove_path, scratch_path, ship
 
 LEAST_LETTERS = 5
 LEAST_COUNT = 3
@@ -123,6 +123,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(word, n): words of enough letters that occur often enough, with their number of occurrences."""
+    ship(docs.sparkSession)
     given = docs.select(F.col(id_col).cast("string").alias("id"), text_or_empty(F.col(text_col)).alias("text"))
     found = given.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return found.where(F.col("n") >= LEAST_COUNT)

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugewell.session import ship
+
 PIECE_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
@@ -74,6 +76,7 @@ def annotate(docs: DataFrame, compute: Callable[[np.ndarray, np.ndarray], dict[s
     Given columns pass under names of their own, so that no name of theirs can meet a computed one.
     ``compute`` gets the texts of a piece and returns a list per column of ``schema``.
     """
+    ship(docs.sparkSession)
     names = docs.columns
     inner = docs.toDF(*(f"__c{i}" for i in range(len(names))))
     inner = inner.select(text_or_empty(F.col(f"__c{names.index(text_col)}")).alias("__text"), "*")

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugewell.llm.texts import pieces, text_or_empty
+from gaugewell.session import ship
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # The split into pre-tokens that belongs to the vocabulary (a fixed value).
@@ -188,6 +189,7 @@ def token_counts(
 
     ``edits`` is an array<struct<start, end, text>> over the columns of ``docs``, in code points.
     """
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     edit = "array<struct<start: long, end: long, text: string>>"
     edits = (F.array() if edits is None else edits).cast(edit)

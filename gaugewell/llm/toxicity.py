@@ -59,17 +59,24 @@ def supported(rows: Sparse) -> Sparse:
 
 
 def grades(labels: np.ndarray, rows: Sparse, levels: int) -> np.ndarray:
-    """Ordered grades: as labelled, or yes divided by the frequency of telling words."""
+    """Ordered grades: as labelled, or yes divided by the frequency of telling words.
+
+    Labels of yes and no know one border only, that of any grade above 0. The borders above it come from words that
+    tell marked rows from others; a row's words are judged by the other half of the rows, so that none grades itself.
+    """
     if len(labels) and labels.max() > 1:
         return np.minimum(labels, levels - 1)
     owner = np.repeat(np.arange(len(labels)), np.diff(rows.bounds))
-    marked = labels[owner] > 0
-    size = 1 << BUCKET_BITS
-    inside = np.bincount(rows.buckets[marked], minlength=size)
-    outside = np.bincount(rows.buckets[~marked], minlength=size)
-    yes, no = max(1, int((labels > 0).sum())), max(1, int((labels <= 0).sum()))
-    telling = (inside >= 5) & (inside / yes > 8 * (outside + 1) / no)
-    amount = np.bincount(owner, telling[rows.buckets], len(labels))
+    size, amount = 1 << BUCKET_BITS, np.zeros(len(labels))
+    drawn = np.random.default_rng(5).integers(0, 2, len(labels))
+    for half in (0, 1):
+        others = drawn != half
+        marked, judge = labels[owner] > 0, others[owner]
+        inside = np.bincount(rows.buckets[marked & judge], minlength=size)
+        outside = np.bincount(rows.buckets[~marked & judge], minlength=size)
+        yes, no = max(1, int((others & (labels > 0)).sum())), max(1, int((others & (labels <= 0)).sum()))
+        telling = (inside >= 3) & (inside / yes > 8 * (outside + 1) / no)
+        amount += np.where(others, 0, np.bincount(owner, telling[rows.buckets], len(labels)))
     cuts = np.quantile(amount[labels > 0], np.arange(1, levels - 1) / (levels - 1)) if (labels > 0).any() else []
     return np.where(labels > 0, 1 + np.searchsorted(cuts, amount, "left"), 0)
 

@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gaugewell.session import scratch_path
+from gaugewell.session import scratch_path, ship
 
 #: Payloads of fewer bytes are always stored.
 LEAST_SHARED = 1000
@@ -112,7 +113,9 @@ def _write(folder: str, most: int):
 
 def revisits(pages: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
     """(page_id, url, html, refers_to): refers_to is the responding page of a page that is stored elsewhere."""
-    spark, scratch = pages.sparkSession, scratch_path(pages.sparkSession, "warc-payloads")
+    if not isinstance(pages.schema["page_id"].dataType, T.IntegralType):
+        raise TypeError("page_id must be a whole number")
+    spark, scratch = ship(pages.sparkSession), scratch_path(pages.sparkSession, "warc-payloads")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.col("html").cast("string").alias("html"))
     html = F.coalesce("html", F.lit(""))
@@ -175,7 +178,7 @@ def _fetch(folder: str, gap: int, most: int):
 
 def read_archives(selected: DataFrame, folder: str, gap_bytes: int = GAP_BYTES, read_bytes: int = READ_BYTES) -> DataFrame:
     """The records that rows of an index select; the payload of a revisit is null."""
-    spark: SparkSession = selected.sparkSession
+    spark: SparkSession = ship(selected.sparkSession)
     places = selected.select("archive", "offset", "length").withColumn("stretch", F.floor(F.col("offset") / STRETCH_BYTES))
     dealt = places.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "archive", "stretch")
     return (

@@ -1,14 +1,19 @@
 import base64
 import hashlib
+import os
 import random
+import subprocess
+import sys
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gaugewell.llm import mixing, quality, toxicity, warc
-from gaugewell.llm.texts import table
+from gaugewell.llm.texts import table, utf8
 from gaugewell.session import scratch_path
 
 TABLES, LARGER = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
@@ -145,3 +150,52 @@ def test_selected_records_come_with_their_payload(llm):
     fields, payload = warc._parse(record)
     assert payload == b"x" and fields["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(b"x").digest()).decode()
     assert Path(folder.removeprefix("file://")).is_dir()
+
+
+def test_grades_of_yes_and_no_come_from_the_other_half():
+    """A word that marks a single row grades nobody; words that tell rows of both halves grade all that hold them."""
+    draw = random.Random(3)
+    rows, labels = [], []
+    for i in range(400):
+        toxic = i % 4 == 0
+        strong = toxic and i % 8 == 0
+        rows.append([f"p{draw.randrange(60)}" for _ in range(12)] + (["vile"] if toxic else []) + (["foul", "grim"] if strong else []) + ([f"own{i}"] if toxic else []))
+        labels.append(int(toxic))
+    found = toxicity.features(*utf8(pa.array([" ".join(r) for r in rows])))
+    grade = toxicity.grades(np.array(labels), toxicity.supported(found), 4)
+    assert all((g > 0) == bool(y) for g, y in zip(grade.tolist(), labels))
+    strong = [g for i, g in enumerate(grade.tolist()) if i % 8 == 0]
+    weak = [g for i, g in enumerate(grade.tolist()) if i % 8 == 4]
+    assert min(strong) > max(weak)
+    assert toxicity.grades(np.array([0, 3, 9, 1]), found, 4).tolist() == [0, 3, 3, 1]
+
+
+def test_operators_called_from_a_checkout_reach_the_workers(tmp_path):
+    """In a process that starts elsewhere, without the settings of this machine and without the registered queries."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[2])!r})
+from gaugewell.session import local_session
+from gaugewell.llm import simhash, secrets, spelling, tokens
+spark = local_session("2")
+docs = spark.createDataFrame([(1, "some words some words token=abcdefgh12"), (2, "some words some words token=abcdefgh12 token token"), (3, None)], "doc_id long, text string")
+assert secrets.find_secrets(docs).count() == 3
+assert sorted(r.component_id for r in simhash.near_duplicates(docs).collect()) == [1, 2, 3]
+assert tokens.token_counts(docs).count() == 3 and spelling.spelling_variants(docs).count() == 2
+print("done")
+"""
+    (tmp_path / "conf").mkdir()
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"SPARK_CONF_DIR": str(tmp_path / "conf")}
+    ran = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=400)
+    assert ran.stdout.strip().endswith("done"), ran.stderr[-3000:]
+
+
+def test_archives_of_many_equal_and_null_ids_and_of_long_payloads(llm):
+    rows = [(7 if i % 3 else None, f"http://x/{i}", ("same " * 400) if i % 2 else f"own {i} " * 300) for i in range(300)] + [(900, "http://long", "é" * 3_000_000)]
+    frame = llm.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    found = warc.round_trip(frame).collect()
+    assert Counter(r.payload_digest for r in found) == Counter(hashlib.sha1(h.encode()).hexdigest() for _, _, h in rows)
+    assert {r.payload_bytes for r in found if r.page_id == 900} == {6_000_000}
+    assert all(r.refers_to == 7 for r in found if r.record_type == "revisit")
+    with pytest.raises(TypeError):
+        warc.round_trip(frame.withColumn("page_id", F.col("url")))
