@@ -949,6 +949,17 @@ def _fallback(spark, sf_dir):
     return S.load(spark, path)
 
 
+@query("read_csv_reader_options", """SELECT c_custkey AS "key", CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_name END AS name FROM customer""")
+def _reader_options(spark, sf_dir):
+    """Options of the caller reach the parser: another separator, a null mark of its own, lines that are comments."""
+    path = scratch_path(spark, "options") + ".csv"
+    key = F.col("c_custkey")
+    line = F.concat(F.when(key % 5 == 0, F.lit("! not a row\n")).otherwise(""), key.cast("string"), F.lit(";"), F.when(key % 4 == 0, "--").otherwise(F.col("c_name")))
+    files = read(spark, sf_dir, "customer").groupBy(F.floor(key / 1000).alias("n")).agg(F.array_join(F.collect_list(line), "\n").alias("lines"))
+    files.select(F.concat(F.lit("key;name\n"), "lines")).write.option("maxRecordsPerFile", 1).text(path)
+    return S.load(spark, path, sep=";", nullValue="--", comment="!")
+
+
 def _encoded(encoding: str, spark, sf_dir) -> DataFrame:
     path = scratch_path(spark, "table") + ".csv"
     rows = read(spark, sf_dir, "customer").select(

@@ -6,11 +6,13 @@ commits of its own in a shared folder and needs no broker. ``FileTopic`` keeps t
 
 from __future__ import annotations
 
+import hashlib
 import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gaugewell.session import path_exists
 from gaugewell.sources import topic_log
 
 MESSAGE_SCHEMA = "key string, value string"
@@ -67,16 +69,22 @@ class FileTopic:
         return self.path
 
     def read_stream(self, spark: SparkSession) -> DataFrame:
-        reader = spark.readStream.schema(MESSAGE_SCHEMA)
+        reader = spark.readStream.schema(MESSAGE_SCHEMA).option("recursiveFileLookup", True)
         if self.max_files_per_batch:
             reader = reader.option("maxFilesPerTrigger", self.max_files_per_batch)
         return reader.parquet(self.path)
 
     def read(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema(MESSAGE_SCHEMA).parquet(self.path)
+        return spark.read.schema(MESSAGE_SCHEMA).option("recursiveFileLookup", True).parquet(self.path)
 
-    def write(self, messages: DataFrame) -> None:
-        messages.write.mode("append").parquet(self.path)
+    def write(self, messages: DataFrame, batch_id: str | None = None) -> None:
+        """Append messages; those of a batch id that was written whole before are left out."""
+        if batch_id is None:
+            messages.write.mode("append").parquet(self.path)
+            return
+        folder = f"{self.path.rstrip('/')}/{hashlib.sha256(batch_id.encode()).hexdigest()[:24]}"
+        if not path_exists(messages.sparkSession, f"{folder}/_SUCCESS"):
+            messages.write.mode("overwrite").parquet(folder)
 
 
 @dataclass

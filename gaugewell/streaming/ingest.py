@@ -13,8 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from gaugewell.functions.quality import QUALITY_LEVELS
 from gaugewell.operators.profile import TableProfile, learn_profile
 from gaugewell.operators.report import statistics_columns, success_rate
-from gaugewell.session import configure, remove_path, scratch_path
-from gaugewell.sources.files import path_exists
+from gaugewell.session import configure, path_exists, remove_path, scratch_path
 from gaugewell.streaming.payload import (
     is_payload,
     malformed,

@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gaugewell.operators.contract import Contract
-from gaugewell.session import configure, scratch_path, ship
-from gaugewell.sources.files import path_exists
+from gaugewell.session import configure, path_exists, scratch_path, ship
 
 
 def _per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
