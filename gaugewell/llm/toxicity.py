@@ -36,16 +36,18 @@ SAMPLE_ROWS = 16_000
 #: A feature needs as many sampled documents as one in so many, and three at least.
 SUPPORT_SHARE = 600
 GRADES = 4
-#: Beginnings of words count as features too, so that derived words of the same stem are known.
-PREFIXES = (4,)
+#: Beginnings of longer words count as features too, so that derived words of the same stem are known. In bytes:
+#: four of them are two letters in some scripts, and common to many stems.
+PREFIXES = (4, 6, 8)
 #: A document is toxic if a grade above the lowest is at least this likely.
 THRESHOLD = 0.25
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> Sparse:
     words = Words(LOWER[data], offsets, NO_LETTER)
-    owner, names = words.documents(), words.names()
-    parts = [grams(names, owner, 1, 1), *(grams(words.prefixes(n), owner, 1, n) for n in PREFIXES)]
+    owner, names, size = words.documents(), words.names(), words.ends - words.starts
+    longer = [(n, size > n) for n in PREFIXES]
+    parts = [grams(names, owner, 1, 1), *(grams(words.prefixes(n)[more], owner[more], 1, n) for n, more in longer)]
     found = counted(parts, len(offsets) - 1, BUCKET_BITS)
     found.values = np.ones(len(found.buckets))
     return found
