@@ -1,45 +1,47 @@
 """Primary keys that must be unique over all batches of a stream.
 
 How often each key came is kept in the stream's state, which is in its checkpoint: a batch costs what its own
-keys cost, and a stream that starts again knows the keys from before. Every task adds up its rows by key first, so a
-key that fills a third of a batch reaches the state as a few rows.
+keys cost, and a stream that starts again knows the keys from before. It is a built-in aggregate: every task adds up its
+rows by key first, so a key that fills a third of a batch reaches the state as a few rows, and no key runs Python.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gaugewell.operators.contract import Contract
 from gaugewell.session import configure, path_exists, scratch_path, ship
 
 
-def _per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts = batch.column(0).value_counts()
-        yield pa.RecordBatch.from_arrays([counts.field(0), counts.field(1).cast(pa.int64())], ["key", "n"])
+#: Keeps the state of a task on its disk, so that the keys of a long stream do not have to fit the memory.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
-def _count(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The copies of a key in this batch, and with all batches before."""
-    now = sum(int(part["n"].sum()) for part in rows)
-    copies = now + (state.get[0] if state.exists else 0)
-    state.update((copies,))
-    yield pd.DataFrame({"key": [key[0]], "in_batch": [now], "copies": [copies]})
+@contextmanager
+def _state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """A stream takes these settings when it starts; the session's own are left as they were."""
+    before = {name: spark.conf.get(name, None) for name in STATE_STORE}
+    try:
+        for name, value in STATE_STORE.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def key_counts(rows: DataFrame, contract: Contract) -> DataFrame:
-    """Stream of (key, in_batch, copies) for the keys of each batch; ``copies`` counts all batches so far."""
+    """Stream of (key, copies) for the keys of each batch; ``copies`` counts all batches so far."""
     key = F.col("`" + contract.primary_key.replace("`", "``") + "`").cast("string").alias("key")
-    counted = rows.select(key).mapInArrow(_per_task, "key string, n long")
-    return counted.groupBy("key").applyInPandasWithState(
-        _count, "key string, in_batch long, copies long", "copies long", "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("copies"))
 
 
 @dataclass
@@ -59,10 +61,11 @@ class KeyWatch:
         def store(batch: DataFrame, batch_id: int) -> None:
             batch.where("copies > 1").write.mode("overwrite").parquet(f"{self.root}/repeated/batch-{batch_id}")
 
-        query = (
-            key_counts(rows, contract).writeStream.outputMode("update").foreachBatch(store)
-            .option("checkpointLocation", f"{self.root}/checkpoint").trigger(availableNow=True).start()
-        )
+        with _state_on_disk(rows.sparkSession):
+            query = (
+                key_counts(rows, contract).writeStream.outputMode("update").foreachBatch(store)
+                .option("checkpointLocation", f"{self.root}/checkpoint").trigger(availableNow=True).start()
+            )
         try:
             query.awaitTermination(timeout_seconds)
         finally:

@@ -10,7 +10,7 @@ from gaugewell.operators.profile import learn_profile
 from gaugewell.operators.profile_state import ProfileState
 from gaugewell.session import remove_path
 from gaugewell.sources.topics import LogTopic
-from gaugewell.streaming.keys import KeyWatch
+from gaugewell.streaming.keys import STATE_STORE, KeyWatch, key_counts
 
 
 def facts(profile):
@@ -88,3 +88,14 @@ def test_keys_are_known_over_batches_and_restarts(spark, tmp_path):
 def test_a_contract_needs_its_key(spark):
     with pytest.raises(AttributeError):
         KeyWatch("/nowhere").run(spark.readStream.format("rate").load(), Contract())
+
+
+def test_keys_are_counted_without_python_for_each_key(spark, tmp_path):
+    topic = LogTopic(str(tmp_path / "topic"), partitions=2)
+    topic.write(spark.createDataFrame([("a", "v"), ("a", "w"), ("b", "v")], "key string, value string"), batch_id="one")
+    before = {name: spark.conf.get(name, None) for name in STATE_STORE}
+    watch = KeyWatch(str(tmp_path / "watch")).run(topic.read_stream(spark), Contract(primary_key="key"))
+    assert [(r.key, r.copies) for r in watch.repeated(spark).collect()] == [("a", 2)]
+    assert {name: spark.conf.get(name, None) for name in STATE_STORE} == before
+    plan = key_counts(topic.read_stream(spark), Contract(primary_key="key"))._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" in plan and "InPandas" not in plan and "MapInArrow" not in plan
