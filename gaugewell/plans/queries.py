@@ -1008,7 +1008,9 @@ def _quoted_lines(spark, sf_dir):
 def _quoted_lines_latin(spark, sf_dir):
     path = scratch_path(spark, "latin") + ".csv"
     whole = spark.read.option("lineSep", "\x00").text(_quoted_file(spark, sf_dir, "UTF-8"))
-    whole.select(F.encode("value", "ISO-8859-1").alias("b")).select(F.col("b").cast("string")).write.option("lineSep", "\n").text(path)
+    latin = whole.select(F.encode("value", "ISO-8859-1").alias("b")).select(F.col("b").cast("string"))
+    # a task may hold many files, each with a header of its own
+    latin.write.option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
     return S.load(spark, path)
 
 

@@ -172,3 +172,13 @@ def test_json_elements_that_are_no_objects(spark, tmp_path, small_ranges):
             read_json(spark, str(path))
     path.write_text("[ \n ]")
     assert read_json(spark, str(path)).count() == 0
+
+
+def test_latin_files_of_one_task_keep_their_headers_apart(spark, tmp_path, small_ranges):
+    """The query's input is many files, of which a task may copy several."""
+    from gaugewell.plans.queries import QUERIES
+
+    spark.range(40).selectExpr("id * 20000 AS c_custkey", "'Customer' || id AS c_name").write.parquet(str(tmp_path / "customer.parquet"))
+    small_ranges(1 << 20)
+    rows = QUERIES["read_csv_quoted_line_ends_iso_8859_1"](spark, str(tmp_path))
+    assert sorted(r.key for r in rows.collect()) == [i * 20000 for i in range(40)]
