@@ -34,7 +34,7 @@ class Leading:
     """Leading values, and how they were found."""
 
     frame: DataFrame  # field, position, value, frequency
-    #: How many values were counted again, or one more than could be sent to every task.
+    #: How many values were counted again, without fields that were counted whole at once.
     candidates: int
     #: The most that a value of each field can have come that is no candidate.
     bounds: dict[str, int]
@@ -102,7 +102,8 @@ def leading_values(df: DataFrame, fields: list[str] | None = None, top: int = 20
     cells = _cells(df, fields)
     summaries = cells.mapInArrow(_summarize(capacity), "field string, value string, n long")
     # a value is kept by some tasks and may be dropped by others; each task's bound holds for what it has dropped
-    met = summaries.groupBy("field", "value").agg(F.sum("n").alias("n"))
+    # kept while it is asked, so that the values are read and summarized once
+    met = summaries.groupBy("field", "value").agg(F.sum("n").alias("n")).persist()
     bounds = {r["field"]: r["n"] for r in met.where("value is null").collect()}  # a row for each field
     # no value can lead whose count with all that tasks may have dropped is below the top-th known count
     ranked = _ranked(met.where("value is not null").withColumnRenamed("n", "frequency"), top)
@@ -110,19 +111,19 @@ def leading_values(df: DataFrame, fields: list[str] | None = None, top: int = 20
     rows = [(f, max(0, least.get(f, 0) - b)) for f, b in bounds.items()]
     floors = spark.createDataFrame(rows, "field string, floor long")
     candidates = met.where("value is not null").join(F.broadcast(floors), "field").where("n >= floor").select("field", "value")
-    # at most a summary's capacity for each field and task, and in the end few: the count decides how they are joined
-    kept = candidates.limit(capacity * len(fields) + 1).collect()
+    # where the bounds rule out too little, a field is counted whole at once: its candidates would be nearly all its values
+    numbers = {r["field"]: r["count"] for r in candidates.groupBy("field").count().collect()}
+    wide = [f for f in bounds if numbers.get(f, 0) > capacity]
+    kept = candidates.where(~F.col("field").isin(wide)).collect()  # at most ``capacity`` for each field
+    met.unpersist()
     number = len(kept)
-    if number <= capacity * len(fields):
-        small = spark.createDataFrame([tuple(r) for r in kept], "field string, value string")
-        counted = cells.join(F.broadcast(small), ["field", "value"], "left_semi")
-    else:
-        counted = cells.join(candidates, ["field", "value"], "left_semi")
+    small = spark.createDataFrame([tuple(r) for r in kept], "field string, value string")
+    counted = cells.join(F.broadcast(small), ["field", "value"], "left_semi")
     exact = _ranked(counted.groupBy("field", "value").agg(F.count(F.lit(1)).alias("frequency")), top)
-    found = exact.collect()  # at most ``top`` rows for each field
+    found = exact.collect() if kept else []  # at most ``top`` rows for each field
     lowest = {f: [r["frequency"] for r in found if r["field"] == f] for f in bounds}
     # a value that no task has kept came at most as often as all tasks together may have dropped; a tie could be smaller
-    open_ = [f for f, b in bounds.items() if b and (len(lowest[f]) < top or lowest[f][-1] <= b)]
+    open_ = [f for f, b in bounds.items() if f in wide or b and (len(lowest[f]) < top or lowest[f][-1] <= b)]
     rows = [tuple(r) for r in found if r["field"] not in open_]
     frame = spark.createDataFrame(rows, "field string, position int, value string, frequency long")
     if open_:

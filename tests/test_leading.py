@@ -43,6 +43,14 @@ def test_a_clear_lead_is_found_without_counting_all(spark):
     assert {r.value for r in leading.frame.collect()} == {f"hot{i}" for i in range(7)}
 
 
+def test_a_field_that_bounds_cannot_decide_is_counted_once(spark):
+    values = [f"u{i}" for i in range(3000)] + ["u7", "u9", "u9"]
+    frame = spark.createDataFrame([(v, "a") for v in values], "wide string, narrow string").repartition(5)
+    leading = leading_values(frame, top=4, capacity=50)
+    assert leading.recounted == ["wide"] and leading.candidates == 1  # no candidate of the wide field is joined with all values
+    assert found(leading, "wide") == plain(values, 4) and found(leading, "narrow") == [(1, "a", 3003)]
+
+
 def test_a_summary_bounds_what_it_dropped():
     draw = random.Random(4)
     values = [str(min(int(draw.paretovariate(0.5)), 5000)) for _ in range(20_000)]
