@@ -28,6 +28,7 @@ from gaugewell.operators.profile import (
     learn_profile,
     profile_frame,
     schema_summary,
+    spread,
     type_counts,
 )
 from gaugewell.operators.profile_state import ProfileState
@@ -74,7 +75,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def _detect(kind: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and hits of one type per column of the mixed-form table."""
-    people = W.PEOPLE.frame(spark, sf_dir)
+    people = spread(W.PEOPLE.frame(spark, sf_dir))
     texts = people.select(*[F.col(c).cast("string").alias(c) for c in people.columns])
     long = texts.unpivot([], people.columns, "field", "v")
     hit = F.coalesce(Detectors().test(kind, F.col("v")), F.lit(False))
@@ -227,7 +228,7 @@ def _samples(spark, sf_dir):
     """Every sample is a value of its column, and no column with values lacks samples."""
     people = W.PEOPLE.frame(spark, sf_dir)
     samples = profile_frame(people).select("field", F.explode("sample_values").alias("v"))
-    texts = people.select(*[F.col(c).cast("string").alias(c) for c in people.columns])
+    texts = spread(people).select(*[F.col(c).cast("string").alias(c) for c in people.columns])
     values = texts.unpivot([], people.columns, "field", "v").distinct().withColumn("found", F.lit(True))
     # at most ten samples per column
     return (

@@ -26,6 +26,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # short values compress well: 8 MB of them are some 300 MB in the hash table of a task that counts them
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
     # the JVM never compiles methods over 8000 bytes; past that, fused code is
     # slower than operator-level code, which wide tables then get
     "spark.sql.codegen.hugeMethodLimit": "8000",
