@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,11 +19,27 @@ SAMPLE_ROWS = 8_000
 
 
 class Sparse:
-    """Rows of (bucket, value) pairs: row r has ``bounds[r]:bounds[r + 1]``."""
+    """Rows of (bucket, value) pairs: row r has ``bounds[r]:bounds[r + 1]``. Values may be of single precision."""
 
     def __init__(self, bounds: np.ndarray, buckets: np.ndarray, values: np.ndarray) -> None:
         self.bounds, self.buckets, self.values = bounds, buckets, values
 
+    def parts(self, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
+        """First and last row, behind it, of runs of rows with about ``most`` pairs each."""
+        at, rows = 0, len(self.bounds) - 1
+        while at < rows:
+            end = max(at + 1, int(np.searchsorted(self.bounds, self.bounds[at] + most, "right")) - 1)
+            yield at, end
+            at = end
+
+    def counts(self, chosen: np.ndarray, size: int) -> np.ndarray:
+        """How many of the ``chosen`` rows have each bucket, a run of rows at a time."""
+        total = np.zeros(size, np.int64)
+        for a, b in self.parts():
+            judge = np.repeat(chosen[a:b], np.diff(self.bounds[a:b + 1]))
+            total += np.bincount(self.buckets[self.bounds[a]:self.bounds[b]][judge], minlength=size)
+        return total
+
     def dot(self, weights: np.ndarray) -> np.ndarray:
         sums = np.concatenate([[0.0], np.cumsum(weights[self.buckets].astype(np.float64) * self.values)])
         return sums[self.bounds[1:]] - sums[self.bounds[:-1]]
@@ -61,6 +78,25 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: st
     return texts.join(F.broadcast(drawn), "id").select("id", "label", "text")
 
 
+def gathered(rows: pa.ChunkedArray, order: np.ndarray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers packed in binary ``rows``, row after row in the given order, with the rows' bounds.
+
+    They are copied once, out of Arrow's own memory; a list of them would hold every row twice more.
+    """
+    views = []
+    for chunk in rows.chunks:
+        _, offsets, data = chunk.buffers()
+        wide = np.int64 if pa.types.is_large_binary(chunk.type) else np.int32
+        edges = np.frombuffer(offsets, wide)[chunk.offset:chunk.offset + len(chunk) + 1].tolist() if len(chunk) else []
+        data = memoryview(data) if data is not None else memoryview(b"")
+        views += [np.frombuffer(data[a:b], kind) for a, b in zip(edges[:-1], edges[1:])]
+    bounds = np.concatenate([[0], np.cumsum([len(views[i]) for i in order.tolist()])]).astype(np.int64)
+    out = np.empty(bounds[-1], kind)
+    for place, i in enumerate(order.tolist()):
+        out[bounds[place]:bounds[place + 1]] = views[i]
+    return bounds, out
+
+
 def fit(drawn: DataFrame, features: Features, train: Callable[[np.ndarray, Sparse], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
     """Featurise the bounded sample where it lies, then train in one task; the model is of fixed size."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,12 +111,10 @@ def fit(drawn: DataFrame, features: Features, train: Callable[[np.ndarray, Spars
                     ["id", "label", "buckets", "vals"])
 
     def learn(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("id", "ascending"), ("label", "ascending")])
-        buckets = [np.frombuffer(b, np.int32) for b in table.column("buckets").to_pylist()]
-        values = [np.frombuffer(v, np.float32) for v in table.column("vals").to_pylist()]
-        bounds = np.concatenate([[0], np.cumsum([len(b) for b in buckets])]).astype(np.int64)
-        model = train(table.column("label").to_numpy(), Sparse(
-            bounds, np.concatenate(buckets), np.concatenate(values).astype(np.float64)))
+        order = pc.sort_indices(table.select(["id", "label"]), [("id", "ascending"), ("label", "ascending")]).to_numpy()
+        bounds, buckets = gathered(table.column("buckets"), order, np.int32)
+        labels, values = table.column("label").to_numpy()[order], gathered(table.column("vals"), order, np.float32)[1]
+        model = train(labels, Sparse(bounds, buckets, values))
         return pa.table({"name": list(model), "data": [np.asarray(v, np.float64).tobytes() for v in model.values()]})
 
     model = (

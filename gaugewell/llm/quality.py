@@ -56,7 +56,7 @@ def train(labels: np.ndarray, rows: Sparse) -> dict[str, np.ndarray]:
         for r in order.permutation(len(labels)).tolist():
             low, high = rows.bounds[r], rows.bounds[r + 1]
             at = np.append(rows.buckets[low:high], size)
-            x = np.append(rows.values[low:high], 0.3)  # the intercept
+            x = np.append(rows.values[low:high].astype(np.float64), 0.3)  # the intercept
             w = model.weights(at)
             model.learn(at, w, (sigmoid(w @ x) - labels[r]) * x)
     return {"weights": model.weights()}

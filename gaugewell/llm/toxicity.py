@@ -55,9 +55,10 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Sparse:
 
 def supported(rows: Sparse) -> Sparse:
     """Without the features of too few documents, which would only learn these by heart."""
-    count = np.bincount(rows.buckets, minlength=1 << BUCKET_BITS)
-    keep = count[rows.buckets] >= max(3, (len(rows.bounds) - 1) // SUPPORT_SHARE)
-    return Sparse(np.concatenate([[0], np.cumsum(keep)])[rows.bounds], rows.buckets[keep], rows.values[keep])
+    often = rows.counts(np.ones(len(rows.bounds) - 1, bool), 1 << BUCKET_BITS) >= max(3, (len(rows.bounds) - 1) // SUPPORT_SHARE)
+    keep, edges = often[rows.buckets], rows.bounds.tolist()
+    left = [int(np.count_nonzero(keep[a:b])) for a, b in zip(edges[:-1], edges[1:])]
+    return Sparse(np.concatenate([[0], np.cumsum(left, dtype=np.int64)]), rows.buckets[keep], rows.values[keep])
 
 
 def grades(labels: np.ndarray, rows: Sparse, levels: int) -> np.ndarray:
@@ -68,17 +69,18 @@ def grades(labels: np.ndarray, rows: Sparse, levels: int) -> np.ndarray:
     """
     if len(labels) and labels.max() > 1:
         return np.minimum(labels, levels - 1)
-    owner = np.repeat(np.arange(len(labels)), np.diff(rows.bounds))
     size, amount = 1 << BUCKET_BITS, np.zeros(len(labels))
     drawn = np.random.default_rng(5).integers(0, 2, len(labels))
     for half in (0, 1):
         others = drawn != half
-        marked, judge = labels[owner] > 0, others[owner]
-        inside = np.bincount(rows.buckets[marked & judge], minlength=size)
-        outside = np.bincount(rows.buckets[~marked & judge], minlength=size)
+        inside = rows.counts(others & (labels > 0), size)
+        outside = rows.counts(others & (labels <= 0), size)
         yes, no = max(1, int((others & (labels > 0)).sum())), max(1, int((others & (labels <= 0)).sum()))
         telling = (inside >= 3) & (inside / yes > 8 * (outside + 1) / no)
-        amount += np.where(others, 0, np.bincount(owner, telling[rows.buckets], len(labels)))
+        for a, b in rows.parts():
+            owner = np.repeat(np.arange(b - a), np.diff(rows.bounds[a:b + 1]))
+            held = np.bincount(owner[telling[rows.buckets[rows.bounds[a]:rows.bounds[b]]]], minlength=b - a)
+            amount[a:b] += np.where(others[a:b], 0, held)
     cuts = np.quantile(amount[labels > 0], np.arange(1, levels - 1) / (levels - 1)) if (labels > 0).any() else []
     return np.where(labels > 0, 1 + np.searchsorted(cuts, amount, "left"), 0)
 
@@ -94,7 +96,7 @@ def train(labels: np.ndarray, rows: Sparse) -> dict[str, np.ndarray]:
     for _ in range(min(MOST_PASSES, max(PASSES, STEPS // max(1, len(labels))))):
         for r in order.permutation(len(grade)).tolist():
             low, high = rows.bounds[r], rows.bounds[r + 1]
-            at, x, y = rows.buckets[low:high], rows.values[low:high], grade[r]
+            at, x, y = rows.buckets[low:high], rows.values[low:high].astype(np.float64), grade[r]
             w = model.weights(at)
             over = sigmoid(w @ x - theta)
             above = 1.0 if y == 0 else over[y - 1]  # P(grade >= y)

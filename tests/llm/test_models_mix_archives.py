@@ -4,6 +4,7 @@ import os
 import random
 import subprocess
 import sys
+import tracemalloc
 from collections import Counter
 from pathlib import Path
 
@@ -12,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gaugewell.llm import mixing, quality, toxicity, warc
+from gaugewell.llm import mixing, models, quality, toxicity, warc
 from gaugewell.llm.texts import table, utf8
 from gaugewell.session import scratch_path
 
@@ -50,6 +51,41 @@ def test_toxic_documents_are_found_and_graded(llm, edge_cases, no_documents):
     assert kept.columns == edge_cases.columns and kept.count() == 12
 
 
+def test_training_holds_few_copies_of_the_sample():
+    draw, rows, each = np.random.default_rng(3), 3000, 1500
+    labels = draw.integers(0, 2, rows)
+    table = pa.table({
+        "label": pa.array(labels, pa.int32()),
+        "buckets": [np.sort(draw.choice(1 << 14, each, False)).astype(np.int32).tobytes() for _ in range(rows)],
+        "vals": [np.ones(each, np.float32).tobytes()] * rows})
+    held = rows * each * 8  # bytes of the pairs
+    tracemalloc.start()
+    order = np.arange(rows)[::-1]
+    bounds, buckets = models.gathered(table.column("buckets"), order, np.int32)
+    values = models.gathered(table.column("vals"), order, np.float32)[1]
+    found = toxicity.supported(models.Sparse(bounds, buckets, values))
+    assert tracemalloc.get_traced_memory()[1] < 3 * held
+    assert np.array_equal(found.buckets, buckets) and found.bounds.tolist() == bounds.tolist()
+    assert buckets[:each].tobytes() == table["buckets"][rows - 1].as_py()
+    del buckets, values, bounds
+    tracemalloc.reset_peak()
+    grades = toxicity.grades(labels[::-1], found, 4)
+    # the table of all features counts, too
+    assert tracemalloc.get_traced_memory()[1] < held + 100_000_000
+    tracemalloc.stop()
+    assert (grades > 0).tolist() == (labels[::-1] > 0).tolist()
+
+
+def test_counts_of_runs_of_rows():
+    rows = models.Sparse(np.array([0, 2, 2, 5]), np.array([1, 3, 0, 1, 3], np.int32), np.ones(5))
+    assert list(rows.parts(2)) == [(0, 2), (2, 3)] and list(models.Sparse(np.array([0]), rows.buckets[:0], rows.values[:0]).parts()) == []
+    assert rows.counts(np.array([True, True, False]), 4).tolist() == [0, 1, 0, 1]
+    assert rows.counts(np.ones(3, bool), 4).tolist() == [1, 2, 0, 2]
+    packed = pa.chunked_array([pa.array([b"", b"abcd"]), pa.array([b"efghijkl"])]).slice(1)
+    bounds, out = models.gathered(packed, np.array([1, 0]), np.uint8)
+    assert bounds.tolist() == [0, 8, 12] and out.tobytes() == b"efghijklabcd"
+
+
 def plain_mix(blocks, shares):
     """{(source, block): (slot, release, deadline)}, cycle by cycle, slot by slot."""
     out, start, cycle = {}, 0, 0
